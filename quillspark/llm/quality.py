@@ -18,10 +18,11 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 from .words import WordHashes, raw, slices, windows
 
 _SYMBOLS = b"#*$%&|<>"
-#: Largest share of word characters inside repeated n-grams, by length of the n-gram.
-DUP_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: Largest share of word characters inside repeated n-grams, by length of the n-gram: about half, so that an
+#: article with a repeated paragraph stays and a text that is mostly its own repeat goes.
+DUP_NGRAM_SHARE = {5: 0.50, 6: 0.49, 7: 0.48, 8: 0.47, 9: 0.46, 10: 0.45}
 #: Largest share of word characters in the occurrences of the commonest n-gram, where it occurs twice at least.
-TOP_NGRAM_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
+TOP_NGRAM_SHARE = {2: 0.25, 3: 0.22, 4: 0.20}
 DUP_LINE_SHARE = 0.30
 #: Symbols to words.
 SYMBOL_RATIO = 0.10
