@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, mixing, packing, quality
+from quillspark.llm import exact_dedup, mixing, ngram_join, packing, quality
 from quillspark.llm.store import materialize, table
 from quillspark.shipping import ship_package
 
@@ -21,6 +21,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar texts (five-word shingles, 0.8), the one with the smallest doc_id stays."""
+    ship_package(spark)
+    return ngram_join.keep_one_per_component(docs, width=5, percent=80)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources; what it takes twice comes twice."""
     ship_package(spark)
@@ -36,6 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard_join", near_dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality
+from . import chat, exact_dedup, mixing, ngram_join, packing, quality
 from .store import table
 
 
@@ -32,12 +32,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op4_cost_packing, op5_exact_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op4_cost_packing, op5_exact_dedup, op7_ngram_jaccard_join, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
