@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .store import materialize
+
 SALTS = 64
 _P = "__dd_"
 
@@ -26,24 +28,36 @@ def _digest(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()
 
 
-def _folded(df: DataFrame, text: str, with_text: bool, digest) -> DataFrame:
-    """All columns of ``df`` and the digest of the folded text; ``with_text``: the folded text also."""
+def _folded(df: DataFrame, text: str, digest, keep: list[str], with_text: bool) -> DataFrame:
+    """The columns ``keep`` of ``df``, the digest of the folded text and, if ``with_text``, the folded text."""
     added = [f"{_P}digest"] + ([f"{_P}text"] if with_text else [])
-    schema = StructType([*df.schema.fields, *(StructField(c, StringType()) for c in added)])
+    schema = StructType([*(df.schema[c] for c in keep), *(StructField(c, StringType()) for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             folded = pc.ascii_lower(pc.fill_null(batch.column(text), ""))
-            columns = [*batch.columns, pa.array([digest(x) for x in folded.cast(pa.binary()).to_pylist()], pa.string())]
+            columns = [*(batch.column(c) for c in keep), pa.array([digest(x) for x in folded.cast(pa.binary()).to_pylist()], pa.string())]
             if with_text:
                 columns.append(folded)
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
     return df.mapInArrow(run, schema)
 
 
-def tag_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", salts: int = SALTS, digest=_digest) -> DataFrame:
-    """Every row and column of ``docs`` with four helper columns.
+def _winners(docs: DataFrame, text: str, id_col: str, salts: int, digest) -> tuple[DataFrame, bool]:
+    """A row for each digest, text and salt: keep, size, and the text if its digest has others too; whether any has."""
+    d, s, t = f"{_P}digest", f"{_P}salt", f"{_P}text"
+    slim = _folded(docs.select(F.col(id_col).alias(f"{_P}id"), F.col(text).alias(f"{_P}in")), f"{_P}in", digest, [f"{_P}id"], True)
+    by_salt = slim.groupBy(d, F.pmod(F.xxhash64(f"{_P}id"), F.lit(salts)).cast("int").alias(s), t).agg(F.max(f"{_P}id").alias(f"{_P}keep"), F.count(F.lit(1)).alias(f"{_P}size"))
+    # Salt winners meet by digest; partitioning by the digest alone serves both groupings below.
+    merged = by_salt.repartition(F.col(d)).groupBy(d, t).agg(F.max(f"{_P}keep").alias(f"{_P}keep"), F.sum(f"{_P}size").alias(f"{_P}size"), F.collect_set(s).alias(f"{_P}salts"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(d)) == 1
+    found = materialize(merged.withColumn(t, F.when(~alone, F.col(t))).select(d, t, f"{_P}keep", f"{_P}size", F.explode(f"{_P}salts").alias(s)), "dedup-winners")
+    return found, not found.where(F.col(t).isNotNull()).isEmpty()
+
+
+def tag_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", salts: int = SALTS, digest=_digest, carry: list[str] | None = None) -> DataFrame:
+    """Every row of ``docs`` (its columns ``carry``, all by default) with four helper columns.
 
     ``__dd_digest`` (sha256, lower-case hex, of the text with A-Z lowered),
     ``__dd_keep`` (largest id among equal texts), ``__dd_size`` (rows with
@@ -52,38 +66,27 @@ def tag_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Null text counts as empty.  A null id is smaller than any other.  Of rows
     that repeat the winning id, exactly one stays.  No input row gives no
     output row.  Other columns pass through untouched, whatever their names.
-    ``digest`` may collide: texts are compared whole.
+    ``digest`` may collide: texts are compared whole, and only if some digest
+    has several texts do texts go along to the last join.
     """
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias(f"{_P}salt")
     d, s, t = f"{_P}digest", f"{_P}salt", f"{_P}text"
-    slim = _folded(docs.select(F.col(id_col).alias(f"{_P}id"), F.col(text).alias(f"{_P}in")), f"{_P}in", True, digest)
-    by_salt = (
-        slim.select(d, t, F.col(f"{_P}id").alias(f"{_P}id"), F.pmod(F.xxhash64(f"{_P}id"), F.lit(salts)).cast("int").alias(s))
-        .groupBy(d, s, t)
-        .agg(F.max(f"{_P}id").alias(f"{_P}keep"), F.count(F.lit(1)).alias(f"{_P}size"))
-    )
-    # Salt winners meet by digest; partitioning by the digest alone serves both groupings below.
-    merged = (
-        by_salt.repartition(F.col(d))
-        .groupBy(d, t)
-        .agg(F.max(f"{_P}keep").alias(f"{_P}keep"), F.sum(f"{_P}size").alias(f"{_P}size"), F.collect_set(s).alias(f"{_P}salts"))
-    )
-    # A digest with one text needs no text in the last join; with more (a collision) the text goes along.
-    alone = F.count(F.lit(1)).over(Window.partitionBy(d)) == 1
-    winners = merged.withColumn(t, F.when(~alone, F.col(t))).select(d, t, f"{_P}keep", f"{_P}size", F.explode(f"{_P}salts").alias(s))
-    rows = _folded(docs, text, False, digest).withColumn(s, F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    winners, collide = _winners(docs, text, id_col, salts, digest)
+    carry = docs.columns if carry is None else carry
+    rows = _folded(docs, text, digest, carry, collide).withColumn(s, F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     w = winners.select(*[F.col(c).alias(f"{c}_w") for c in (d, s, t)], f"{_P}keep", f"{_P}size")
-    folded_here = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    same = F.col(f"{t}_w").isNull() | (F.when(F.col(f"{t}_w").isNotNull(), folded_here) == F.col(f"{t}_w"))
-    joined = rows.join(w, (F.col(d) == F.col(f"{d}_w")) & (F.col(s) == F.col(f"{s}_w")) & same)
-    nth = F.row_number().over(Window.partitionBy(d, s, f"{_P}keep", id_col).orderBy(F.col(id_col)))
-    return joined.withColumn(f"{_P}kept", F.col(id_col).eqNullSafe(F.col(f"{_P}keep")) & (nth == 1)).drop(f"{d}_w", f"{s}_w", f"{t}_w", s)
+    on = (F.col(d) == F.col(f"{d}_w")) & (F.col(s) == F.col(f"{s}_w"))
+    if collide:
+        on = on & (F.col(f"{t}_w").isNull() | (F.col(t) == F.col(f"{t}_w")))
+    texts = [t] if collide else []
+    joined = rows.join(w, on).drop(f"{d}_w", f"{s}_w", f"{t}_w")
+    nth = F.row_number().over(Window.partitionBy(d, s, *texts, id_col).orderBy(F.col(id_col)))
+    return joined.withColumn(f"{_P}kept", F.col(id_col).eqNullSafe(F.col(f"{_P}keep")) & (nth == 1)).drop(s, *texts)
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", salts: int = SALTS, digest=_digest) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``; see `tag_duplicates`."""
     slim = docs.select(F.col(id_col).alias(id_col), F.col(text).alias(text))
-    return tag_duplicates(slim, text, id_col, salts, digest).select(
+    return tag_duplicates(slim, text, id_col, salts, digest, carry=[id_col]).select(
         id_col,
         F.col(f"{_P}keep").alias("keep_id"),
         F.col(f"{_P}size").alias("group_size"),
