@@ -56,13 +56,17 @@ def permuted(index: Column, rows: Column, columns: Column, *salt: Column, rounds
     column and then the column by a hash of the new row, modulo their counts,
     both of which can be undone.
     """
-    r, c = F.expr("0"), F.expr("0")
-    r, c = (index - F.pmod(index, columns)) / columns, F.pmod(index, columns)
-    r = r.cast("long")
-    for k in range(rounds):
-        r = F.pmod(r + F.pmod(F.xxhash64(*salt, F.lit(2 * k), c), rows), rows)
-        c = F.pmod(c + F.pmod(F.xxhash64(*salt, F.lit(2 * k + 1), r), columns), columns)
-    return r * columns + c
+    column = F.pmod(index, columns)
+    cell = F.struct(((index - column) / columns).cast("long").alias("r"), column.alias("c"))
+
+    def half_round(x: Column, k: Column) -> Column:
+        shift = F.xxhash64(*salt, k, F.when(k % 2 == 0, x["c"]).otherwise(x["r"]))
+        r = F.when(k % 2 == 0, F.pmod(x["r"] + F.pmod(shift, rows), rows)).otherwise(x["r"])
+        c = F.when(k % 2 == 1, F.pmod(x["c"] + F.pmod(shift, columns), columns)).otherwise(x["c"])
+        return F.struct(r.alias("r"), c.alias("c"))
+
+    # A fold, for nested expressions would double with every round.
+    return F.aggregate(F.array(*[F.lit(k) for k in range(2 * rounds)]), cell, half_round, lambda x: x["r"] * columns + x["c"])
 
 
 def _layout(docs: DataFrame, text: str, id_col: str, source_col: str, payload: list[str], seed: int, block_words: int, stream_words: int) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +105,9 @@ def draw_slots(plan: DataFrame, seed: int = 0) -> DataFrame:
     """
     shards = F.greatest(F.lit(1), F.ceil(F.sum("draws").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / SLOTS_PER_SHARD)).cast("long")
     chunks = plan.where("draws > 0").withColumn("shards", shards).withColumn("chunk", F.explode(F.expr(f"sequence(0L, (draws - 1) div {CHUNK})")))
-    slots = chunks.repartition(F.col("rank"), F.col("chunk")).withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}L, least(draws, (chunk + 1) * {CHUNK}L) - 1)")))
+    # A chunk is a few bytes and stands for thousands of slots, so the number of tasks is given outright.
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = chunks.repartition(tasks, F.col("rank"), F.col("chunk")).withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK}L, least(draws, (chunk + 1) * {CHUNK}L) - 1)")))
     block = permuted(F.pmod(F.col("slot"), F.col("cells")), F.col("rows"), F.col("columns"), F.lit(seed), F.col("rank"))
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), F.col("slot")), F.col("shards"))
     return slots.select(shard.alias("shard"), "rank", "slot", block.alias("block"), "n_blocks").where("block < n_blocks").drop("n_blocks")
@@ -119,7 +125,8 @@ def _segments(placed: DataFrame, slots: DataFrame, block_words: int) -> DataFram
         F.greatest(F.lit(0), F.col("__b") * block_words - F.col("__lo")).alias("from"),
         F.least(F.col("__size"), (F.col("__b") + 1) * block_words - F.col("__lo")).alias("to"),
     )
-    return parts.join(times, ["rank", "block"])
+    # The plan is tiny and its slots are not: without the hint their size would be taken for the plan's and they'd be broadcast.
+    return parts.join(times.hint("merge"), ["rank", "block"])
 
 
 def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 0, block_words: int = BLOCK_WORDS, stream_words: int = STREAM_WORDS) -> DataFrame:
