@@ -3,11 +3,12 @@
 The tokens of a document are its shingles.  All documents order tokens alike:
 rare ones before frequent ones, by hash within a class.  Two sets that are
 similar enough share at least k tokens in prefixes of length n - t + k, with
-t the least overlap that n allows.  A shared rare token is indexed by itself;
-if all shared ones are frequent, a pair of them is.  With k = g + 1, frequent
-tokens can be split into g groups by hash and only pairs inside a group be
-indexed, for two of the k must fall into one group; g grows with the size of
-the sets, which bounds the pairs of very long documents.
+t the least overlap that n allows.  Rare tokens are indexed singly, frequent
+ones in combinations of two.  With k = g + m, a pair shares m rare tokens or
+g + 1 frequent ones; the frequent ones are split into g groups by hash and
+only combinations inside a group are indexed, for two of g + 1 fall into one
+group.  g grows with the size of the sets, which bounds the combinations of
+very long documents.
 
 Equal sets are one class.  A signature's classes are first compared with one
 of them only (linear, however many share it).  What this links is contracted,
@@ -25,20 +26,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .graph import components
 from .store import materialize
-from .words import WordHashes, mixed, raw, shingle_set, slices
+from .words import mixed, raw, shingle_sets, slices
 
 #: A token in more documents than this, as far as tasks have counted, is frequent.
-FREQUENT = 32
+FREQUENT = 4
 #: The frequent class holds at most so many tokens, the commonest (2 MB when sent to executors).
 FREQUENT_MOST = 1 << 18
 #: A task reports a token that so many documents share among those it counts together.
-SEEN_TOGETHER = 3
+SEEN_TOGETHER = 2
 COUNT_TOKENS = 1 << 21
 SALTS = 64
+#: A token of the rare class by which more sets than this are indexed is combined like a frequent one.
+RARE = 4
+#: Rare tokens that a pair must share in its prefixes unless it shares a combination of frequent ones.
+RARE_SHARED = 3
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -53,7 +57,7 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def report() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
@@ -61,9 +65,9 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[often])), pa.array(n[often])], names=["token", "n"])
 
         for batch in batches:
-            for x in raw(batch.column(0)):
-                held.append(shingle_set(x.lower().split(), width, memo))
-                size += len(held[-1])
+            for part in slices(batch, text, 1 << 20):
+                held += shingle_sets(raw(part.column(0)), width)
+                size = sum(len(x) for x in held)
                 if size >= COUNT_TOKENS:
                     yield report()
                     held, size = [], 0
@@ -75,63 +79,84 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """What a set of tokens (sorted) is indexed by."""
+def _groups(n: int, percent: int) -> list[int]:
+    """Into how many groups frequent tokens are split, for each class of sizes that a partner of ``n`` tokens may have."""
+    classes = range((-(-percent * n // 100)).bit_length(), (n * 100 // percent).bit_length() + 1)
+    return sorted({max(4, (1 << c) >> 7) for c in classes})
+
+
+def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a set of tokens (sorted): its rare and its frequent tokens; and the number of rare ones if all are in, else -1."""
     n = len(tokens)
-    if not n:
-        return tokens
-    least = -(-percent * n // 100)
-    at = np.searchsorted(frequent, tokens)
     common = np.zeros(n, dtype=bool)
-    if len(frequent):
-        common = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-    rare, common_tokens = tokens[~common], tokens[common]
+    if len(frequent) and n:
+        common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+    rare = tokens[~common]
+    short, long = (min(n, n + percent * n // -100 + g + RARE_SHARED) for g in (_groups(n, percent)[0], _groups(n, percent)[-1]))
+    return rare[:long], tokens[common][: max(0, long - len(rare))], len(rare) if len(rare) <= short else -1
+
+
+def signatures(n: int, rare: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """What a set of ``n`` tokens is indexed by: even numbers for single tokens, odd ones for combinations."""
     found = []
-    # One scheme for each class of sizes that a partner may have.
-    for size_class in range(least.bit_length(), (n * 100 // percent).bit_length() + 1):
-        groups = max(1, (1 << size_class) >> 9)
-        k = groups + 1
-        prefix = min(n, n - least + k)
-        found.append(rare[:prefix])
-        part = common_tokens[: max(0, prefix - len(rare))]
-        if least < k:  # too small to be sure of k shared tokens
-            found.append(part)
-        for g in range(groups):
-            own = part if groups == 1 else part[part % np.uint64(groups) == g]
-            if len(own) > 1:
-                i, j = np.triu_indices(len(own), 1)
-                found.append(mixed(mixed(own[i]) + own[j]))
-    return np.unique(np.concatenate(found))
-
-
-def _indexed(docs: DataFrame, text: str, id_col: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    for groups in _groups(n, percent):
+        if -(-percent * n // 100) < groups + RARE_SHARED:  # too small to be sure of so many: any shared token makes a pair
+            found += [mixed(rare), mixed(common)]
+        place = common % np.uint64(groups)
+        order = np.argsort(place, kind="stable")
+        own, place = common[order], place[order]
+        i, j = np.triu_indices(len(own), 1) if len(own) < 64 else _within(place)
+        same = place[i] == place[j]
+        found.append(mixed(mixed(np.minimum(own[i], own[j])[same]) + np.maximum(own[i], own[j])[same]))
+    return np.concatenate([np.unique(rare & ~np.uint64(1)), np.unique(np.concatenate(found) | np.uint64(1))])
+
+
+def _within(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs inside each run of equal numbers."""
+    edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+    pairs = [np.triu_indices(b - a, 1) for a, b in zip(edges[:-1], edges[1:])]
+    return tuple(np.concatenate([p[k] + a for p, a in zip(pairs, edges)]) for k in (0, 1))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(arrays))))
+
+
+def _prefixes(docs: DataFrame, text: str, id_col: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(id, n, key: digest of the set, all_rare, rare, common) of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("key", BinaryType()), StructField("sigs", ArrayType(LongType()))])
+    names = ["id", "n", "key", "all_rare", "rare", "common"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text", 1 << 20):
+                sets = shingle_sets(raw(part.column(1)), width)
+                rare, common, every = zip(*(prefix_tokens(s, sent.value, percent) if len(s) else (s, s, -1) for s in sets))
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(every, pa.int64()), _lists(rare), _lists(common)], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, "id long, n long, key binary, all_rare long, rare array<long>, common array<long>")
+
+
+def _combined(classes: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, own, sigs) from (rep, n, own, rare, common)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                sets = [shingle_set(x.lower().split(), width, memo) for x in raw(part.column(1))]
-                sigs = [signatures(s, sent.value, percent) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sigs))))],
-                    names=schema.names,
-                )
+            rare, common = ([np.array(x or (), dtype=np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists([signatures(n, r, c, percent) for n, r, c in zip(batch.column(1).to_pylist(), rare, common)])], names=["rep", "n", "own", "sigs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return classes.select("rep", "n", "own", "rare", "common").mapInArrow(run, "rep long, n long, own long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, text: str, id_col: str, width: int, wanted: DataFrame) -> DataFrame:
     """Shingle sets (id, tokens as sorted 64-bit hashes) of the documents in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            for part in slices(batch, "__text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.lower().split(), width, memo).tobytes() for x in raw(part.column(1))], pa.binary())], names=["id", "tokens"])
+            for part in slices(batch, "__text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(raw(part.column(1)), width)], pa.binary())], names=["id", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
     return texts.mapInArrow(run, "id long, tokens binary")
@@ -166,29 +191,56 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     null.  The id must be a whole number; other columns are not read.
     """
     frequent = frequent_tokens(docs, text, width)
-    rows = materialize(_indexed(docs, text, id_col, width, percent, frequent), "nj-rows")
+    rows = materialize(_prefixes(docs, text, id_col, width, percent, frequent), "nj-rows")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     linked = rows.where("n > 0 and id is not null")
-    classes = linked.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    classes = linked.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "all_rare", "rare", "common")])
+    classes = materialize(classes, "nj-classes")
+    # Tokens of the rare class by the number of sets indexed by them: alone, rare indeed, or frequent after all.
+    met = classes.select("rep", F.explode("rare").alias("token")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("size > 1")
+    met = met.groupBy("rep").agg(
+        F.count(F.lit(1)).alias("met"),
+        F.collect_list(F.when(F.col("size") <= RARE, F.col("token"))).alias("rare"),
+        F.collect_list(F.when(F.col("size") > RARE, F.col("token"))).alias("more"),
+    )
+    indexed = classes.select("rep", "n", "all_rare", "common").join(met.hint("merge"), "rep", "left").withColumn("common", F.concat("common", F.coalesce("more", F.array().cast("array<long>"))))
+    # Of sets whose rare tokens are all indexed, a rare token that no other set is indexed by is in none of them.
+    own = F.when(F.col("all_rare") >= 0, F.col("all_rare") - F.coalesce("met", F.lit(0)))
     of_sig = Window.partitionBy("sig")
-    groups = classes.select("rep", "n", F.explode("sigs").alias("sig")).withColumn("size", F.count(F.lit(1)).over(of_sig)).withColumn("first", F.min(F.struct("rep", "n")).over(of_sig)).where("size > 1")
+    groups = _combined(indexed.withColumn("own", own), percent).select("rep", "n", "own", F.explode("sigs").alias("sig"))
+    # The set with the fewest tokens of its own is the likeliest to be what the others were made from.
+    first = F.min(F.struct(F.coalesce("own", "n").alias("o"), "rep", "n", "own")).over(of_sig)
+    groups = groups.withColumn("size", F.count(F.lit(1)).over(of_sig)).withColumn("first", first).where("size > 1").drop("size")
     groups = materialize(groups, "nj-groups")
 
-    def near(m: str, n: str):  # sizes allow the similarity
-        return (F.col(m) * 100 >= F.col(n) * percent) & (F.col(n) * 100 >= F.col(m) * percent)
-
-    star = groups.select(F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb")).where((F.col("a") != F.col("b")) & near("na", "nb")).select("a", "b").distinct()
-    star = materialize(star, "nj-star")
-    sets = materialize(_sets(docs, text, id_col, width, groups.select(F.col("rep").alias("id")).distinct()).dropDuplicates(["id"]), "nj-sets")
-    links = materialize(_verified(star, sets, percent), "nj-links")
+    def near(m: str, n: str, own_m: str, own_n: str):
+        """Whether sizes, less what only one of two sets can have, allow the similarity."""
+        most = F.least(F.col(m) - F.coalesce(own_m, F.lit(0)), F.col(n) - F.coalesce(own_n, F.lit(0)))
+        both = F.when(F.col(own_m).isNotNull() & F.col(own_n).isNotNull(), most).otherwise(F.least(m, n))
+        return 100 * both >= percent * (F.col(m) + F.col(n) - both)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share a combination or enough rare tokens, from one row for each shared signature."""
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("sig").bitwiseAND(1)).alias("combined"))
+        return counted.where((F.col("combined") == 1) | (F.col("shared") >= RARE_SHARED)).select("a", "b")
+
+    def docs_sets(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+        return materialize(_sets(docs, text, id_col, width, ends).dropDuplicates(["id"]), "nj-sets")
+
+    star = groups.select("sig", F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("first.own").alias("oa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    star = star.where((F.col("a") != F.col("b")) & near("na", "nb", "oa", "ob"))
+    star = star.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    star = materialize(candidates(star), "nj-star")
+    links = materialize(_verified(star, docs_sets(star), percent), "nj-links")
     label = components(links)
-    marked = groups.select("sig", "rep", "n").join(label.hint("merge"), groups["rep"] == label["node"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    apart = marked.withColumn("lo", F.min("c").over(of_sig)).withColumn("hi", F.max("c").over(of_sig)).where("lo < hi").select("sig", "rep", "n", "c")
+    marked = groups.drop("first").join(label.hint("merge"), groups["rep"] == label["node"], "left").select("sig", "rep", "n", "own", F.coalesce("component", "rep").alias("c"))
+    apart = marked.withColumn("lo", F.min("c").over(of_sig)).withColumn("hi", F.max("c").over(of_sig)).where("lo < hi").select("sig", "rep", "n", "own", "c")
     apart = materialize(apart, "nj-apart")
-    x, y = (apart.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "c")]) for s in "xy")
-    cross = x.join(y.hint("merge"), "sig").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & near("nx", "ny")).select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
-    cross = cross.join(star.hint("merge"), ["a", "b"], "left_anti")
-    more = materialize(_verified(cross, sets, percent), "nj-more")
+    x, y = (apart.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "own", "c")]) for s in "xy")
+    cross = x.join(y.hint("merge"), "sig").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & near("nx", "ny", "ownx", "owny")).select("sig", F.col("repx").alias("a"), F.col("repy").alias("b"))
+    cross = materialize(candidates(cross).join(star.hint("merge"), ["a", "b"], "left_anti"), "nj-cross")
+    more = materialize(_verified(cross, docs_sets(cross), percent), "nj-more")
     final = components(links.unionAll(more))
     named = classes.select("key", "rep").join(final.hint("merge"), classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     # The rows of a class meet its component salt by salt, so a class of a third of all rows is spread.

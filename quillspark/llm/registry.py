@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, quality
+from . import chat, exact_dedup, langid, mixing, ngram_join, packing, pii, quality, toxicity
 from .store import table
 
 
@@ -32,6 +32,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(_crc_mod(3) != 1).select("doc_id", "toxic")
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = F.coalesce(_crc_mod(3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -40,8 +52,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_crc_mod(4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out), "text", "lang")
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op4_cost_packing, op5_exact_dedup, op7_ngram_jaccard_join, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op4_cost_packing, op5_exact_dedup, op6_toxicity, op7_ngram_jaccard_join, op8_quality_rules, op9_personal_data, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

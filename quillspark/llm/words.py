@@ -8,6 +8,7 @@ characters; ``bytes.split`` has exactly that meaning on UTF-8, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,65 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return acc
 
 
-def shingle_set(words: list[bytes], width: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes; a shorter text is one shingle, an empty one none."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-    return np.unique(windows(memo.of(words), width))
+_BASE = 0x9E3779B97F4A7C15
+_WORD_BYTE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+_BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    base = np.full(n, _BASE, dtype=np.uint64)
+    base[0] = 1
+    inverse = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    return np.cumprod(base), np.cumprod(inverse)
+
+
+def _chunk_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word in a buffer that neither starts nor ends inside a word."""
+    inside = np.zeros(len(buf) + 2, dtype=np.int8)
+    inside[1:-1] = _WORD_BYTE[buf]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = 1 << max(20, len(buf).bit_length())
+    power, inverse = _powers(size)
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z lowered: a polynomial over the bytes from prefix sums, so one pass of numpy does many texts."""
+    joined = b"\n".join(texts).lower()
+    buf = np.frombuffer(joined, dtype=np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(buf):
+        end = min(at + _CHUNK, len(buf))
+        while end < len(buf) and _WORD_BYTE[buf[end]]:
+            end += 1
+        h, s = _chunk_hashes(buf[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    if not hashes:
+        return [np.empty(0, dtype=np.uint64) for _ in texts]
+    first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    return np.split(np.concatenate(hashes), np.searchsorted(np.concatenate(starts), first[1:]))
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; a shorter text is one shingle, an empty one none."""
+    sets = []
+    for h in word_hashes(texts):
+        n = len(h)
+        if 0 < n < width:
+            sets.append(mixed(windows(h, n) + np.uint64(n)))
+        else:
+            w = np.sort(windows(h, width))
+            sets.append(w[np.concatenate([[True], w[1:] != w[:-1]])] if len(w) else w)
+    return sets
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
