@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, mixing, ngram_join, packing, pii, quality, toxicity
+from . import chat, exact_dedup, langid, lm, mixing, ngram_join, packing, pii, quality, toxicity
 from .store import table
 
 
@@ -24,6 +24,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), _crc_mod(7) == 2)
+
+
 def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op4_cost_packing, op5_exact_dedup, op6_toxicity, op7_ngram_jaccard_join, op8_quality_rules, op9_personal_data, op10_language_id)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_source_mixing, op3_hmm_scoring, op4_cost_packing, op5_exact_dedup, op6_toxicity, op7_ngram_jaccard_join, op8_quality_rules, op9_personal_data, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
