@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialize
+from .store import commonest, materialize
 from .words import mixed, raw, shingle_sets, slices
 
 #: A token in more documents than this, as far as tasks have counted, is frequent.
@@ -75,25 +75,26 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
             yield report()
 
     counts = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > FREQUENT).orderBy(F.col("n").desc(), "token").limit(FREQUENT_MOST).select("token").toPandas()
+    top = commonest(materialize(counts.where(F.col("n") > FREQUENT), "nj-counts"), "n", FREQUENT_MOST).select("token").toPandas()
     return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
 def _groups(n: int, percent: int) -> list[int]:
     """Into how many groups frequent tokens are split, for each class of sizes that a partner of ``n`` tokens may have."""
     classes = range((-(-percent * n // 100)).bit_length(), (n * 100 // percent).bit_length() + 1)
-    return sorted({max(4, (1 << c) >> 7) for c in classes})
+    return sorted({max(8, (1 << c) >> 7) for c in classes})
 
 
 def prefix_tokens(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set of tokens (sorted): its rare and its frequent tokens; and the number of rare ones if all are in, else -1."""
+    """The prefix of a set of tokens (sorted): its rare and its frequent tokens, and up to where all its rare tokens are in."""
     n = len(tokens)
     common = np.zeros(n, dtype=bool)
     if len(frequent) and n:
         common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
     rare = tokens[~common]
-    short, long = (min(n, n + percent * n // -100 + g + RARE_SHARED) for g in (_groups(n, percent)[0], _groups(n, percent)[-1]))
-    return rare[:long], tokens[common][: max(0, long - len(rare))], len(rare) if len(rare) <= short else -1
+    prefix = min(n, n + percent * n // -100 + _groups(n, percent)[-1] + RARE_SHARED)
+    limit = int(rare[prefix - 1] >> np.uint64(1)) if len(rare) > prefix else (1 << 63) - 1
+    return rare[:prefix], tokens[common][: max(0, prefix - len(rare))], limit
 
 
 def signatures(n: int, rare: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -123,31 +124,39 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(arrays))))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, as four numbers: the parity of the tokens that fall on each.  Two sets differ in as many tokens as bits, or more."""
+    return np.packbits((np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
+BITS = ["b0", "b1", "b2", "b3"]
+
+
 def _prefixes(docs: DataFrame, text: str, id_col: str, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, key: digest of the set, all_rare, rare, common) of each document."""
+    """(id, n, key: digest of the set, upto, its parity bits, rare, common) of each document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["id", "n", "key", "all_rare", "rare", "common"]
+    names = ["id", "n", "key", "upto", *BITS, "rare", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", 1 << 20):
                 sets = shingle_sets(raw(part.column(1)), width)
-                rare, common, every = zip(*(prefix_tokens(s, sent.value, percent) if len(s) else (s, s, -1) for s in sets))
+                rare, common, upto = zip(*(prefix_tokens(s, sent.value, percent) if len(s) else (s, s, 0) for s in sets))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(every, pa.int64()), _lists(rare), _lists(common)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(upto, pa.int64()), *(pa.array(b, pa.int64()) for b in zip(*(parity(s) for s in sets))), _lists(rare), _lists(common)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, "id long, n long, key binary, all_rare long, rare array<long>, common array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, "id long, n long, key binary, upto long, b0 long, b1 long, b2 long, b3 long, rare array<long>, common array<long>")
 
 
 def _combined(classes: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, own, sigs) from (rep, n, own, rare, common)."""
+    """(rep, n, upto, own, sigs) from (rep, n, upto, own, rare, common)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare, common = ([np.array(x or (), dtype=np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in (3, 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists([signatures(n, r, c, percent) for n, r, c in zip(batch.column(1).to_pylist(), rare, common)])], names=["rep", "n", "own", "sigs"])
+            rare, common = ([np.array(x or (), dtype=np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in (4, 5))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists([signatures(n, r, c, percent) for n, r, c in zip(batch.column(1).to_pylist(), rare, common)])], names=["rep", "n", "upto", "own", "sigs"])
 
-    return classes.select("rep", "n", "own", "rare", "common").mapInArrow(run, "rep long, n long, own long, sigs array<long>")
+    return classes.select("rep", "n", "upto", "own", "rare", "common").mapInArrow(run, "rep long, n long, upto long, own long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, text: str, id_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -194,7 +203,7 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     rows = materialize(_prefixes(docs, text, id_col, width, percent, frequent), "nj-rows")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     linked = rows.where("n > 0 and id is not null")
-    classes = linked.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "all_rare", "rare", "common")])
+    classes = linked.groupBy("key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "upto", *BITS, "rare", "common")])
     classes = materialize(classes, "nj-classes")
     # Tokens of the rare class by the number of sets indexed by them: alone, rare indeed, or frequent after all.
     met = classes.select("rep", F.explode("rare").alias("token")).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("size > 1")
@@ -203,42 +212,45 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
         F.collect_list(F.when(F.col("size") <= RARE, F.col("token"))).alias("rare"),
         F.collect_list(F.when(F.col("size") > RARE, F.col("token"))).alias("more"),
     )
-    indexed = classes.select("rep", "n", "all_rare", "common").join(met.hint("merge"), "rep", "left").withColumn("common", F.concat("common", F.coalesce("more", F.array().cast("array<long>"))))
-    # Of sets whose rare tokens are all indexed, a rare token that no other set is indexed by is in none of them.
-    own = F.when(F.col("all_rare") >= 0, F.col("all_rare") - F.coalesce("met", F.lit(0)))
+    indexed = classes.select("rep", "n", "upto", F.size("rare").cast("long").alias("indexed"), "common").join(met.hint("merge"), "rep", "left").withColumn("common", F.concat("common", F.coalesce("more", F.array().cast("array<long>"))))
+    # No other set is indexed by such a token, so none whose rare tokens are indexed that far has it.
+    own = F.col("indexed") - F.coalesce("met", F.lit(0))
     of_sig = Window.partitionBy("sig")
-    groups = _combined(indexed.withColumn("own", own), percent).select("rep", "n", "own", F.explode("sigs").alias("sig"))
+    groups = _combined(indexed.withColumn("own", own), percent).select("rep", "n", "upto", "own", F.explode("sigs").alias("sig"))
     # The set with the fewest tokens of its own is the likeliest to be what the others were made from.
-    first = F.min(F.struct(F.coalesce("own", "n").alias("o"), "rep", "n", "own")).over(of_sig)
+    first = F.min(F.struct("own", "rep", "n", "upto")).over(of_sig)
     groups = groups.withColumn("size", F.count(F.lit(1)).over(of_sig)).withColumn("first", first).where("size > 1").drop("size")
     groups = materialize(groups, "nj-groups")
 
-    def near(m: str, n: str, own_m: str, own_n: str):
-        """Whether sizes, less what only one of two sets can have, allow the similarity."""
-        most = F.least(F.col(m) - F.coalesce(own_m, F.lit(0)), F.col(n) - F.coalesce(own_n, F.lit(0)))
-        both = F.when(F.col(own_m).isNotNull() & F.col(own_n).isNotNull(), most).otherwise(F.least(m, n))
-        return 100 * both >= percent * (F.col(m) + F.col(n) - both)
+    def near(n: tuple[str, str], upto: tuple[str, str], own: tuple[str, str]):
+        """Whether sizes, less the tokens that only one of two sets can have, allow the similarity."""
+        most = [F.col(n[k]) - F.when(F.col(upto[k]) <= F.col(upto[1 - k]), F.col(own[k])).otherwise(0) for k in (0, 1)]
+        both = F.least(*most)
+        return 100 * both >= percent * (F.col(n[0]) + F.col(n[1]) - both)
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that share a combination or enough rare tokens, from one row for each shared signature."""
         counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("sig").bitwiseAND(1)).alias("combined"))
         return counted.where((F.col("combined") == 1) | (F.col("shared") >= RARE_SHARED)).select("a", "b")
 
-    def docs_sets(pairs: DataFrame) -> DataFrame:
+    def docs_sets(pairs: DataFrame, how: str | None = None) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        return materialize(_sets(docs, text, id_col, width, ends).dropDuplicates(["id"]), "nj-sets")
+        return materialize(_sets(docs, text, id_col, width, ends.hint(how) if how else ends).dropDuplicates(["id"]), "nj-sets")
 
-    star = groups.select("sig", F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("first.own").alias("oa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    star = star.where((F.col("a") != F.col("b")) & near("na", "nb", "oa", "ob"))
+    star = groups.where("rep != first.rep").select("sig", F.col("first.rep").alias("a"), F.col("rep").alias("b"), *[F.col(f"first.{c}").alias(c + "a") for c in ("n", "upto", "own")], *[F.col(c).alias(c + "b") for c in ("n", "upto", "own")])
+    star = star.where(near(("na", "nb"), ("uptoa", "uptob"), ("owna", "ownb")))
     star = star.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     star = materialize(candidates(star), "nj-star")
-    links = materialize(_verified(star, docs_sets(star), percent), "nj-links")
+    links = materialize(_verified(star, docs_sets(star, "merge"), percent), "nj-links")
     label = components(links)
-    marked = groups.drop("first").join(label.hint("merge"), groups["rep"] == label["node"], "left").select("sig", "rep", "n", "own", F.coalesce("component", "rep").alias("c"))
-    apart = marked.withColumn("lo", F.min("c").over(of_sig)).withColumn("hi", F.max("c").over(of_sig)).where("lo < hi").select("sig", "rep", "n", "own", "c")
+    about = classes.select("rep", *BITS).join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", *BITS, F.coalesce("component", "rep").alias("c"))
+    marked = groups.drop("first").join(about.hint("merge"), "rep")
+    apart = marked.withColumn("lo", F.min("c").over(of_sig)).withColumn("hi", F.max("c").over(of_sig)).where("lo < hi").drop("lo", "hi")
     apart = materialize(apart, "nj-apart")
-    x, y = (apart.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "own", "c")]) for s in "xy")
-    cross = x.join(y.hint("merge"), "sig").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & near("nx", "ny", "ownx", "owny")).select("sig", F.col("repx").alias("a"), F.col("repy").alias("b"))
+    x, y = (apart.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "upto", "own", "c", *BITS)]) for s in "xy")
+    apart_bits = sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in BITS), F.lit(0))
+    alike = apart_bits * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    cross = x.join(y.hint("merge"), "sig").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & alike & near(("nx", "ny"), ("uptox", "uptoy"), ("ownx", "owny"))).select("sig", F.col("repx").alias("a"), F.col("repy").alias("b"))
     cross = materialize(candidates(cross).join(star.hint("merge"), ["a", "b"], "left_anti"), "nj-cross")
     more = materialize(_verified(cross, docs_sets(cross), percent), "nj-more")
     final = components(links.unionAll(more))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 
@@ -42,6 +43,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest counts ``n``: at most ``most``, all or none of those with equal counts.
+
+    The cut is found from how many rows have each count, so that tasks send
+    no more than the rows which stay.
+    """
+    cut, total = None, 0
+    for row in counts.groupBy(n).count().orderBy(F.col(n).desc()).limit(most).collect():
+        total += row["count"]
+        if total > most:
+            break
+        cut = row[n]
+    return counts.where(F.col(n) >= F.lit(cut)) if cut is not None else counts.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
