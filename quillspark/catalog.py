@@ -1,13 +1,24 @@
-"""The library's queries over the driver's tables, and their SQL."""
+"""The library's queries over the driver's tables, and their SQL.
+
+The tables have neither strokes nor libraries; events stand in for the points
+of strokes, embeddings for arrays of coordinates, orders for documents,
+customers for notes and nations for folders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import laws
+from .operators import analytics, rules, sequences
 from .shipping import ship_package
+from .streaming import debounce
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,18 +26,376 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes, points and distinct tools of each page (orders as pages, line items as strokes)."""
-    strokes = table(spark, sf_dir, "lineitem")
-    return strokes.groupBy(F.col("l_orderkey").alias("page")).agg(
-        F.count(F.lit(1)).alias("strokes"), F.sum(F.col("l_quantity").cast("long")).alias("points"), F.count_distinct("l_returnflag").alias("tools")
-    )
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (stroke, i, id, ts, v, p): a user's events in order."""
+    e = table(spark, sf_dir, "events")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    return e.select(F.col("user_id").alias("stroke"), i.cast("long").alias("i"), F.col("event_id").alias("id"), "ts", F.col("value").alias("v"), ((F.col("event_id") % 101) / 100.0).alias("p"), F.col("event_type").alias("family"))
+
+
+P = "points AS (SELECT user_id AS stroke, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_id AS id, ts, value AS v, CAST(event_id % 101 AS DOUBLE) / 100 AS p, event_type AS family FROM events)"
+
+
+@query("SELECT l_orderkey AS page, count(*) AS strokes, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS points, count(DISTINCT l_returnflag) AS tools FROM lineitem GROUP BY l_orderkey")
+def inspect_pages(spark, d):
+    """Strokes, points and distinct tools of each page."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.count(F.lit(1)).alias("strokes"), F.sum(F.col("l_quantity").cast("long")).alias("points"), F.count_distinct("l_returnflag").alias("tools"))
+
+
+@query("SELECT vec_id AS stroke, len(embedding) // 2 AS n_x, len(embedding) - len(embedding) // 2 - CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS n_y, vec_id % 7 <> 0 AS valid FROM embeddings")
+def validate_strokes(spark, d):
+    """Strokes whose arrays differ in length."""
+    half = F.size("embedding") / 2
+    e = table(spark, d, "embeddings").withColumn("x", F.slice("embedding", F.lit(1), half.cast("int"))).withColumn("y", F.slice("embedding", half.cast("int") + 1, half.cast("int") - (F.col("vec_id") % 7 == 0).cast("int")))
+    return e.select(F.col("vec_id").alias("stroke"), F.size("x").cast("long").alias("n_x"), F.size("y").cast("long").alias("n_y"), (F.size("x") == F.size("y")).alias("valid"))
+
+
+@query("WITH pages AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey AS page FROM orders), spec(pos, a, b) AS (VALUES (0, 1, 3), (1, 7, 7), (2, 2, 2), (3, 5, 4)), want AS (SELECT pos, unnest(range(a, b + 1)) AS page_no FROM spec) SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY pos, page_no) AS nth FROM pages JOIN want USING (page_no)")
+def page_selection(spark, d):
+    """Pages of the selection 1-3,7,2,5-4: the order of the selection, repeats kept, a range backwards is empty."""
+    pages = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page_no"))
+    spec = spark.range(1).select(F.posexplode(F.split(F.lit("1-3,7,2,5-4"), ",")).alias("pos", "part"))
+    first, last = F.element_at(F.split("part", "-"), 1).cast("int"), F.element_at(F.split("part", "-"), -1).cast("int")
+    want = spec.where(first <= last).select("pos", F.explode(F.sequence(first, last)).alias("page_no"))
+    return pages.join(want, "page_no").select("doc", "page", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "page_no")).cast("long").alias("nth"))
+
+
+@query(f"WITH {P} SELECT family, count(*) AS strokes FROM (SELECT stroke, min_by(family, i) AS family, min_by(p, i) AS alpha, count(*) AS n FROM points GROUP BY stroke) WHERE n > 0 AND alpha > 0 GROUP BY family")
+def drawable_filter(spark, d):
+    """Strokes with points whose first alpha is not zero, by the family of the first point."""
+    s = points(spark, d).groupBy("stroke").agg(F.min_by("family", "i").alias("family"), F.min_by("p", "i").alias("alpha"))
+    return s.where("alpha > 0").groupBy("family").agg(F.count(F.lit(1)).alias("strokes"))
+
+
+@query(f"WITH {P} SELECT id, CASE WHEN family IN ('click', 'signup') THEN 'constant' ELSE 'variable' END AS mode, CASE family WHEN 'click' THEN 0.85 WHEN 'view' THEN 0.45 ELSE 1.0 END::DOUBLE AS opacity, family = 'click' AS underlay, CASE WHEN family = 'error' THEN 2.0 ELSE v END AS width FROM points")
+def restyle_default(spark, d):
+    """Appearance by tool family: click stands for highlighter, view for shader, signup for fineliner."""
+    f = F.col("family")
+    return points(spark, d).select("id", F.when(f.isin("click", "signup"), "constant").otherwise("variable").alias("mode"), F.when(f == "click", 0.85).when(f == "view", 0.45).otherwise(1.0).alias("opacity"), (f == "click").alias("underlay"), F.when(f == "error", 2.0).otherwise(F.col("v")).alias("width"))
+
+
+@query(f"WITH {P}, f AS (SELECT id, p, 8.5 * sin(pi() / 2 * (0.5 + 0.6 * (p - 0.5))) AS factor FROM points) SELECT id, round(factor, 6) AS factor, round(least(greatest((asin(least(greatest(factor / 8.5, 0.0), 1.0)) / (pi() / 2) - 0.5) / 0.6 + 0.5, 0.0), 1.0), 6) AS back FROM f")
+def law_freedraw(spark, d):
+    """Thickness law and its inverse."""
+    f = points(spark, d).withColumn("factor", laws.freedraw_factor(F.col("p")))
+    return f.select("id", r6(F.col("factor"), "factor"), r6(laws.freedraw_pressure(F.col("factor")), "back"))
+
+
+@query(f"WITH {P} SELECT id, round(greatest(2.855 - 2.176 * abs(sin(v / 10 - radians(92.0))) + 1.004 * p, 0.5) * 2.0, 6) AS calligraphy, round(greatest(2.0 * (1 + 0.8 * 2.43 * (p - 0.29)), 0.4), 6) AS force, round((v / 100 / 2.0 - 1) / (0.8 * 2.43) + 0.29, 6) AS force_back, round(greatest(3.0 * 0.7 * pow(p, 1.3), 0.5), 6) AS power, round((1.374 * 3.5 + 2.52) * (1 + 1.006 * (p - 0.5)), 6) AS draw FROM points")
+def width_laws(spark, d):
+    """Calligraphy, force, power and draw laws."""
+    p, v = F.col("p"), F.col("v")
+    two, s = F.lit(2.0), F.lit(0.8)
+    return points(spark, d).select("id", r6(laws.calligraphy_width(two, v / 10, p), "calligraphy"), r6(laws.force_width(two, s, p), "force"), r6(laws.force_of_width(two, s, v / 100), "force_back"), r6(laws.power_width(F.lit(3.0), F.lit(0.7), F.lit(1.3), p), "power"), r6(laws.draw_width(F.lit(3.5), p), "draw"))
+
+
+@query(f"WITH {P}, q AS (SELECT stroke, i, CAST(round_even(v / 0.25, 0) AS BIGINT) AS q FROM points) SELECT stroke, i, q - lag(q, 1, 0) OVER (PARTITION BY stroke ORDER BY i) AS d, round(q * 0.25, 6) AS v FROM q")
+def delta_coding(spark, d):
+    """Delta encoding in quarter units, and its decoding."""
+    coded = sequences.delta_encode(points(spark, d), F.col("v"), 0.25)
+    return sequences.delta_decode(coded.drop("v"), "d", 0.25).select("stroke", "i", "d", r6(F.col("v"), "v"))
+
+
+@query(f"WITH {P} SELECT stroke, i, id + lag(id, 2, 0) OVER w - 2 * lag(id, 1, 0) OVER w AS dd, id AS back FROM points WINDOW w AS (PARTITION BY stroke ORDER BY i)")
+def second_difference(spark, d):
+    """Second differences and their inverse."""
+    coded = sequences.second_difference(points(spark, d), "id")
+    return sequences.undo_second_difference(coded, "dd", "back").select("stroke", "i", "dd", "back")
+
+
+@query(f"WITH {P} SELECT stroke, i, epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY stroke ORDER BY i)) AS t FROM points")
+def timestamp_rebase(spark, d):
+    """Microseconds since the first point of the stroke."""
+    return sequences.rebase(points(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "us").select("stroke", "i", "t")
+
+
+@query(f"WITH {P} SELECT stroke, i, family FROM (SELECT stroke, i, family, lag(family) OVER (PARTITION BY stroke ORDER BY i) AS before FROM points) WHERE before IS DISTINCT FROM family")
+def dedup_consecutive(spark, d):
+    """Points whose family repeats the one before go."""
+    return sequences.drop_repeats(points(spark, d), "family").select("stroke", "i", "family")
+
+
+@query(f"WITH {P}, c AS (SELECT *, CASE WHEN lag(family) OVER (PARTITION BY stroke ORDER BY i) IS DISTINCT FROM family THEN 1 ELSE 0 END AS c FROM points), r AS (SELECT *, sum(c) OVER (PARTITION BY stroke ORDER BY i) AS run FROM c), n AS (SELECT stroke, run, any_value(family) AS family, count(*) AS n FROM r GROUP BY stroke, run) SELECT stroke, CAST(run AS BIGINT) AS run, chunk, family, least(2, n - chunk * 2) AS length FROM (SELECT *, unnest(range(0, (n - 1) // 2 + 1)) AS chunk FROM n)")
+def rle_encode(spark, d):
+    """Runs of equal family, in chunks of two."""
+    return sequences.run_lengths(points(spark, d), "family", 2)
+
+
+@query(f"WITH {P}, b AS (SELECT *, sum(CASE WHEN family = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY stroke ORDER BY i) AS part FROM points) SELECT stroke, CAST(part AS BIGINT) AS part, count(*) AS n, min(i) AS first_i FROM b WHERE family <> 'error' GROUP BY stroke, part")
+def subpath_split(spark, d):
+    """Sub-paths between break points."""
+    parts = sequences.split_at(points(spark, d), F.col("family") == "error")
+    return parts.groupBy("stroke", "part").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first_i"))
+
+
+@query(f"WITH {P}, d AS (SELECT stroke, i, v, id % 5 AS x, id % 3 AS y FROM points), e AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM d WINDOW w AS (PARTITION BY stroke ORDER BY i)), g AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-9 THEN atan2(dy, dx) END AS a FROM e) SELECT stroke, i, round(coalesce(last_value(a IGNORE NULLS) OVER (PARTITION BY stroke ORDER BY i ROWS UNBOUNDED PRECEDING), first_value(a IGNORE NULLS) OVER (PARTITION BY stroke ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS dir FROM g")
+def direction_carry_forward(spark, d):
+    """Directions of segments, carried over points that coincide."""
+    p = points(spark, d).withColumn("x", F.col("id") % 5).withColumn("y", F.col("id") % 3)
+    return sequences.directions(p, "x", "y").select("stroke", "i", r6(F.col("dir"), "dir"))
+
+
+@query(f"WITH RECURSIVE {P}, run(stroke, i, w, n, opens) AS (SELECT stroke, i, p, 1, true FROM points WHERE i = 0 UNION ALL SELECT q.stroke, q.i, CASE WHEN abs(q.p - r.w) > 0.35 AND r.n > 1 THEN q.p ELSE r.w END, CASE WHEN abs(q.p - r.w) > 0.35 AND r.n > 1 THEN 2 ELSE r.n + 1 END, abs(q.p - r.w) > 0.35 AND r.n > 1 FROM run r JOIN points q ON q.stroke = r.stroke AND q.i = r.i + 1) SELECT stroke, CAST(CASE WHEN i = 0 THEN 0 ELSE i END AS INT) AS start FROM run WHERE opens")
+def run_split(spark, d):
+    """Points that open a run of nearly constant width."""
+    s = points(spark, d).groupBy("stroke").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("w"))
+    return sequences.width_runs(s, "w").select("stroke", F.explode("starts").alias("start"))
+
+
+@query("WITH e AS (SELECT vec_id, label, embedding[1:32]::DOUBLE[] AS x, embedding[33:64]::DOUBLE[] AS y FROM embeddings) SELECT label AS page, round(min(list_min(x)) - 10, 6) AS x_min, round(min(list_min(y)) - 10, 6) AS y_min, round(max(list_max(x)) + 10, 6) AS x_max, round(max(list_max(y)) + 10, 6) AS y_max FROM e GROUP BY label")
+def bounds_union(spark, d):
+    """Bounds of each page's strokes, padded by 10."""
+    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 32).cast("array<double>").alias("x"), F.slice("embedding", 33, 32).cast("array<double>").alias("y"))
+    return e.groupBy(F.col("label").alias("page")).agg(r6(F.min(F.array_min("x")) - 10, "x_min"), r6(F.min(F.array_min("y")) - 10, "y_min"), r6(F.max(F.array_max("x")) + 10, "x_max"), r6(F.max(F.array_max("y")) + 10, "y_max"))
+
+
+@query("SELECT vec_id AS stroke, round(0.5 * embedding[1]::DOUBLE - 0.25 * embedding[33]::DOUBLE + 7, 6) AS x0, round(0.25 * embedding[1]::DOUBLE + 0.5 * embedding[33]::DOUBLE - 3, 6) AS y0, round(sqrt(0.5 * 0.5 + 0.25 * 0.25), 6) AS scale FROM embeddings")
+def affine_transform(spark, d):
+    """A matrix applied to all points of a stroke, its first point, and the matrix's mean scale."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("x"), F.slice("embedding", 33, 32).cast("array<double>").alias("y"))
+    moved = e.select("vec_id", F.zip_with("x", "y", lambda x, y: 0.5 * x - 0.25 * y + 7).alias("x"), F.zip_with("x", "y", lambda x, y: 0.25 * x + 0.5 * y - 3).alias("y"))
+    return moved.select(F.col("vec_id").alias("stroke"), r6(F.element_at("x", 1), "x0"), r6(F.element_at("y", 1), "y0"), r6(F.sqrt(F.lit(0.5 * 0.5 + 0.25 * 0.25)), "scale"))
+
+
+@query(f"WITH {P} SELECT family, count(*) AS n, round(min(v), 6) AS w_min, round(median(v), 6) AS w_median, round(max(v), 6) AS w_max, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max FROM points GROUP BY family")
+def channel_summary(spark, d):
+    """Width and pressure by family."""
+    return points(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"), r6(F.min("v"), "w_min"), r6(F.median("v"), "w_median"), r6(F.max("v"), "w_max"), r6(F.min("p"), "p_min"), r6(F.max("p"), "p_max"))
+
+
+@query(f"WITH {P}, c AS (SELECT stroke, min_by(family, i) AS family, corr(v, p) AS c FROM points GROUP BY stroke HAVING count(*) > 4 AND stddev_pop(v) > 1e-9 AND stddev_pop(p) > 1e-9) SELECT family, round(median(c), 6) AS corr FROM c GROUP BY family")
+def corr_per_stroke(spark, d):
+    """Median over strokes of the correlation of width and pressure."""
+    c = points(spark, d).groupBy("stroke").agg(F.min_by("family", "i").alias("family"), F.corr("v", "p").alias("c"), F.count(F.lit(1)).alias("n"), F.stddev_pop("v").alias("a"), F.stddev_pop("p").alias("b"))
+    return c.where("n > 4 and a > 1e-9 and b > 1e-9").groupBy("family").agg(r6(F.median("c"), "corr"))
+
+
+@query(f"WITH {P}, s AS (SELECT family, list_sort(list(v)) AS l FROM points GROUP BY family) SELECT family, CAST(len(l) AS BIGINT) AS n, round(list_median(l), 6) AS median, l[len(l) // 4 + 1] AS q1, l[3 * len(l) // 4 + 1] AS q3 FROM s")
+def iqr_by_index(spark, d):
+    """Median and quartiles by index."""
+    return analytics.quartiles_by_index(points(spark, d), "family", "v").select("family", "n", r6(F.col("median"), "median"), "q1", "q3")
+
+
+@query(f"WITH {P} SELECT round(round_even(p * 5, 0) / 5, 6) AS bin, round(median(v / 0.25), 6) AS w FROM points GROUP BY 1")
+def binned_median(spark, d):
+    """Median width by pressure, in fifths."""
+    return points(spark, d).groupBy(r6(F.bround(F.col("p") * 5) / 5, "bin")).agg(r6(F.median(F.col("v") / 0.25), "w"))
+
+
+@query(f"WITH {P} SELECT family, round(regr_slope(v, p), 6) AS slope, round(regr_intercept(v, p), 6) AS intercept, round(regr_r2(v, p), 6) AS r2 FROM points GROUP BY family")
+def linear_fit(spark, d):
+    """Least squares of width by pressure."""
+    return points(spark, d).groupBy("family").agg(r6(F.regr_slope("v", "p"), "slope"), r6(F.regr_intercept("v", "p"), "intercept"), r6(F.regr_r2("v", "p"), "r2"))
+
+
+@query("WITH pal(target, r, g, b) AS (VALUES (0, 0, 0, 0), (1, 255, 0, 0), (2, 0, 255, 0), (3, 0, 0, 255), (4, 255, 255, 0), (5, 128, 128, 128)), c AS (SELECT p_partkey AS id, p_partkey * 37 % 256 AS r, p_partkey * 91 % 256 AS g, p_partkey * 53 % 256 AS b FROM part), m AS (SELECT id, min({'d2': (c.r - pal.r) ** 2 + (c.g - pal.g) ** 2 + (c.b - pal.b) ** 2, 'target': target}) AS m FROM c, pal GROUP BY id) SELECT id, m.target AS target, round(m.d2, 6) AS d2 FROM m")
+def nearest_color(spark, d):
+    """Nearest colour of a palette; the first wins."""
+    k = F.col("p_partkey")
+    c = table(spark, d, "part").select(k.alias("id"), (k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 53 % 256).alias("b"))
+    palette = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for t, r, g, b in ((0, 0, 0, 0), (1, 255, 0, 0), (2, 0, 255, 0), (3, 0, 0, 255), (4, 255, 255, 0), (5, 128, 128, 128))])).alias("x")).select("x.*")
+    return analytics.nearest(c, palette, ["r", "g", "b"]).select("id", "target", r6(F.col("d2"), "d2"))
+
+
+@query("WITH rec AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_partkey AS stroke FROM lineitem), tags AS (SELECT o_orderkey AS key, CAST(o_orderkey % 4 + 1 AS INT) AS a, CAST(o_orderkey % 4 + 2 AS INT) AS b, o_orderstatus AS tag FROM orders) SELECT rec.key, pos, stroke, tag FROM rec JOIN tags ON rec.key = tags.key AND pos BETWEEN a AND b")
+def range_join_tags(spark, d):
+    """Strokes and the tag spans over them."""
+    rec = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("at"), F.col("l_partkey").alias("stroke"))
+    k = F.col("o_orderkey") % 4
+    spans = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (k + 1).cast("int").alias("first"), (k + 2).cast("int").alias("last"), F.col("o_orderstatus").alias("tag"))
+    return analytics.spans_covering(rec, spans).select("key", F.col("at").alias("pos"), "stroke", "tag")
+
+
+@query("WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY l_orderkey) SELECT id, CASE WHEN s.id IS NULL THEN 'orphan' WHEN p.id IS NULL THEN 'geometry' ELSE 'ink' END AS kind, coalesce(n, 0) AS points FROM s FULL JOIN p USING (id)")
+def full_outer_shapes_points(spark, d):
+    """Shapes and point sets: ink, geometry without points, orphan points."""
+    s = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("s"))
+    p = table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return s.join(p, "id", "full_outer").select("id", F.when(F.col("s").isNull(), "orphan").when(F.col("n").isNull(), "geometry").otherwise("ink").alias("kind"), F.coalesce("n", F.lit(0)).alias("points"))
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as documents in folders region/nation, with their rules."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("key"), F.concat_ws("/", "r_name", "n_name").alias("folder"), F.col("c_name").alias("name"), (k * 1000).alias("mtime"),
+        F.when(k % 11 == 0, "pdf").when(k % 5 == 0, "file").otherwise("notebook").alias("kind"), F.when(k % 2 == 0, "remarkable").otherwise("folder-1").alias("source_id"),
+        (k % 13 == 0).alias("note_blocked"), (k % 7 == 0).alias("note_allowed"), F.when(k % 17 == 0, "a/b").otherwise("").alias("rule_name"), F.lit("").alias("rule_folder"), F.when(k % 19 == 0, "svg").otherwise("").alias("rule_format"),
+    )
+
+
+N = "notes AS (SELECT c_custkey AS key, r_name || '/' || n_name AS folder, c_name AS name, c_custkey * 1000 AS mtime, CASE WHEN c_custkey % 11 = 0 THEN 'pdf' WHEN c_custkey % 5 = 0 THEN 'file' ELSE 'notebook' END AS kind, CASE WHEN c_custkey % 2 = 0 THEN 'remarkable' ELSE 'folder-1' END AS source_id, c_custkey % 13 = 0 AS note_blocked, c_custkey % 7 = 0 AS note_allowed, CASE WHEN c_custkey % 17 = 0 THEN 'a/b' ELSE '' END AS rule_name, CASE WHEN c_custkey % 19 = 0 THEN 'svg' ELSE '' END AS rule_format FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+RULES = "rules(folder, blocked, allowed) AS (SELECT r_name || '/' || n_name, n_nationkey % 4 = 0, n_nationkey % 3 = 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_regionkey = 1, false FROM region)"
+DECIDED = f"{N}, {RULES}, met AS (SELECT key, min_by(rules.folder, length(rules.folder)) FILTER (WHERE blocked) AS folder_block, bool_or(allowed) AS folder_allow FROM notes JOIN rules ON notes.folder = rules.folder OR starts_with(notes.folder, rules.folder || '/') GROUP BY key), reasons AS (SELECT notes.*, CASE WHEN kind IN ('pdf', 'epub') THEN 'unsupported-kind' WHEN note_blocked THEN 'note-rule' WHEN folder_block IS NOT NULL AND NOT note_allowed THEN 'folder-rule:' || folder_block WHEN NOT (note_allowed OR coalesce(folder_allow, false)) AND kind = 'notebook' THEN 'scope-notebooks' WHEN NOT (note_allowed OR coalesce(folder_allow, false)) AND source_id = 'remarkable' AND (folder = 'ASIA' OR starts_with(folder, 'ASIA/')) THEN 'config-exclude' END AS reason FROM notes LEFT JOIN met USING (key))"
+
+
+def decided(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = n.select(F.concat_ws("/", "r_name", "n_name").alias("folder"), (F.col("n_nationkey") % 4 == 0).alias("blocked"), (F.col("n_nationkey") % 3 == 0).alias("allowed"))
+    top = table(spark, d, "region").select(F.col("r_name").alias("folder"), (F.col("r_regionkey") == 1).alias("blocked"), F.lit(False).alias("allowed"))
+    docs = rules.ancestor_rules(notes(spark, d), own.unionByName(top))
+    docs = docs.withColumn("excluded", (F.col("folder") == "ASIA") | F.col("folder").startswith("ASIA/"))
+    return rules.decide(docs, "blocklist", notebooks=False)
+
+
+@query(f"WITH {DECIDED} SELECT key, reason IS NULL AS wanted, reason FROM reasons")
+def sync_decision(spark, d):
+    """Whether each document is wanted, and why not."""
+    return decided(spark, d).select("key", "wanted", "reason")
+
+
+@query(f"WITH {N} SELECT key, folder || '/' || replace(CASE WHEN rule_name <> '' THEN rule_name ELSE name END, '/', '-') || '.' || CASE WHEN rule_format <> '' THEN rule_format ELSE 'pdf' END AS path FROM notes")
+def output_plan(spark, d):
+    """Where each document goes."""
+    return rules.output_plan(notes(spark, d)).select("key", "path")
+
+
+@query(f"WITH {DECIDED}, st AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 ELSE c_custkey * 1000 - 1 END AS was, c_custkey % 4 <> 0 AS exist FROM customer WHERE c_custkey % 6 <> 1 UNION ALL SELECT -c_custkey - 1, 0, true FROM customer WHERE c_custkey < 5) SELECT key, CASE WHEN r.key IS NOT NULL AND reason IS NULL THEN CASE WHEN was = mtime AND exist THEN 'skip' ELSE 'render' END WHEN was IS NOT NULL THEN 'delete' ELSE 'exclude' END AS action FROM reasons r FULL JOIN st USING (key)")
+def sync_actions(spark, d):
+    """Render, skip, exclude or delete, against the last state."""
+    docs = rules.output_plan(decided(spark, d))
+    k = F.col("key")
+    kept = docs.where(k % 6 != 1).select(k, F.when(k % 3 == 0, F.col("mtime")).otherwise(F.col("mtime") - 1).alias("mtime"), F.array("path").alias("outputs"), (k % 4 != 0).alias("exist"))
+    gone = spark.range(5).select((-F.col("id") - 1).alias("key"), F.lit(0).cast("long").alias("mtime"), F.array(F.lit("x")).alias("outputs"), F.lit(True).alias("exist"))
+    return rules.sync_actions(docs, kept.unionByName(gone))
+
+
+@query("WITH RECURSIVE nodes AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS parent, c_name AS name FROM customer UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 9 = 0 THEN 'trash' ELSE 'r' || n_regionkey END, n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, '', r_name FROM region), climb(id, parent, path, depth) AS (SELECT id, parent, name, 0 FROM nodes UNION ALL SELECT c.id, n.parent, n.name || '/' || c.path, c.depth + 1 FROM climb c JOIN nodes n ON c.parent = n.id WHERE c.depth < 64) SELECT id, max_by(path, depth) AS path, bool_or(parent = 'trash') AS trashed FROM climb GROUP BY id")
+def library_paths(spark, d):
+    """Folder path of every node, and whether it is in the trash."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.col("c_name").alias("name"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 9 == 0, "trash").otherwise(F.concat(F.lit("r"), "n_regionkey")).alias("parent"), F.col("n_name").alias("name"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("").alias("parent"), F.col("r_name").alias("name"))
+    return analytics.folder_paths(c.unionByName(n).unionByName(r))
+
+
+@query(f"WITH {N} SELECT key, name, row_number() OVER (ORDER BY mtime DESC, key) AS nth FROM notes WHERE contains(lower(name), '7') AND kind = 'notebook' AND source_id = 'remarkable'")
+def ui_search_sort(spark, d):
+    """Search by name and kind within a source, newest first."""
+    found = notes(spark, d).where(F.lower("name").contains("7") & (F.col("kind") == "notebook") & (F.col("source_id") == "remarkable"))
+    return found.select("key", "name", F.row_number().over(Window.orderBy(F.col("mtime").desc(), "key")).cast("long").alias("nth"))
+
+
+@query(f"WITH {N} SELECT split_part(folder, '/', 2) AS child, count(*) AS docs FROM notes WHERE starts_with(folder, 'ASIA/') GROUP BY 1")
+def ui_folder_level(spark, d):
+    """Folders below a prefix, with the documents in each."""
+    return notes(spark, d).where(F.col("folder").startswith("ASIA/")).groupBy(F.element_at(F.split("folder", "/"), 2).alias("child")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"WITH {N} SELECT folder, CASE WHEN bool_or(key % 29 = 0) THEN 'failed' WHEN bool_or(key % 4 = 0) THEN 'pending' WHEN bool_or(key % 2 = 1) THEN 'synced' ELSE 'excluded' END AS state, max(CASE WHEN key % 2 = 1 THEN mtime END) AS newest FROM notes GROUP BY folder")
+def folder_rollup(spark, d):
+    """State of a folder from its documents'."""
+    k = F.col("key")
+    return notes(spark, d).groupBy("folder").agg(F.when(F.bool_or(k % 29 == 0), "failed").when(F.bool_or(k % 4 == 0), "pending").when(F.bool_or(k % 2 == 1), "synced").otherwise("excluded").alias("state"), F.max(F.when(k % 2 == 1, F.col("mtime"))).alias("newest"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def history_top(spark, d):
+    """The 200 newest entries of the history."""
+    return table(spark, d, "events").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200).select("event_id", "event_type")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id AS key, min(ts) AS first_change, max(ts) AS last_change, count(*) AS changes FROM s GROUP BY user_id, s")
+def debounce_sessions(spark, d):
+    """Bursts of changes, closed by half an hour of quiet."""
+    return debounce.debounced(table(spark, d, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id AS stroke, k, round(pow(1 - k / 4, 3) * e[1] + 3 * pow(1 - k / 4, 2) * (k / 4) * e[2] + 3 * (1 - k / 4) * pow(k / 4, 2) * e[3] + pow(k / 4, 3) * e[4], 6) AS x FROM e, range(1, 5) t(k)")
+def bezier_flatten(spark, d):
+    """Four samples of a cubic segment."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("k"))
+    t, at = F.col("k") / 4, lambda i: F.element_at("e", i)
+    return e.select(F.col("vec_id").alias("stroke"), "k", r6(F.pow(1 - t, 3) * at(1) + 3 * F.pow(1 - t, 2) * t * at(2) + 3 * (1 - t) * F.pow(t, 2) * at(3) + F.pow(t, 3) * at(4), "x"))
+
+
+@query("SELECT p_partkey AS shape, k, round(p_size * cos(2 * pi() * k / 32), 6) AS x, round(p_size / 2 * sin(2 * pi() * k / 32), 6) AS y FROM part, range(0, 33) t(k)")
+def ellipse_samples(spark, d):
+    """33 points of an ellipse."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(32).cast("long"))).alias("k"))
+    a = 2 * F.pi() * F.col("k") / 32
+    return p.select(F.col("p_partkey").alias("shape"), "k", r6(F.col("p_size") * F.cos(a), "x"), r6(F.col("p_size") / 2 * F.sin(a), "y"))
+
+
+@query("WITH p AS (SELECT p_partkey AS page, p_size AS h, 2 + p_partkey % 5 AS pitch FROM part) SELECT page, unnest(range(0, CAST(ceil(h / pitch) AS BIGINT))) * pitch AS y FROM p")
+def template_lines(spark, d):
+    """Ruled lines of a template: multiples of the pitch below the height."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("page"), F.col("p_size").alias("h"), (2 + F.col("p_partkey") % 5).alias("pitch"))
+    return p.where("h > 0 and pitch > 0").select("page", "pitch", F.explode(F.expr("sequence(0L, ceil(h / pitch) - 1)")).alias("k")).select("page", (F.col("k") * F.col("pitch")).alias("y"))
+
+
+@query("WITH q AS (SELECT o_custkey AS page, CAST(o_totalprice AS BIGINT) % 256 AS a, CAST(o_totalprice AS BIGINT) * 7 % 256 AS b FROM orders), m AS (SELECT page, a, b, a < 235 OR b < 235 AS ink, abs(a - b) > 24 AS differs FROM q) SELECT page, count(*) AS pixels, count(*) FILTER (differs) AS differing, round(1 - count(*) FILTER (differs) / count(*), 6) AS match, round(CASE WHEN count(*) FILTER (ink) = 0 THEN 1.0 ELSE 1 - count(*) FILTER (differs AND ink) / count(*) FILTER (ink) END, 6) AS ink_match FROM m GROUP BY page")
+def pixel_match(spark, d):
+    """Share of equal pixels, all and inked."""
+    price = F.round("o_totalprice").cast("long")
+    q = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), (price % 256).alias("a"), (price * 7 % 256).alias("b"))
+    m = analytics.pixel_match(q.withColumn("ink", (F.col("a") < 235) | (F.col("b") < 235)), 24)
+    return m.select("page", "pixels", "differing", r6(F.col("match"), "match"), r6(F.col("ink_match"), "ink_match"))
+
+
+@query("WITH b AS (SELECT page_id, unnest(string_split(regexp_replace(hex(encode(html)), '(..)', '\\1,', 'g'), ',')) AS x FROM pages), c AS (SELECT page_id, x, count(*) AS n FROM b WHERE x <> '' GROUP BY page_id, x), t AS (SELECT *, sum(n) OVER (PARTITION BY page_id) AS s FROM c) SELECT page_id, round(sum(-(n / s) * log2(n / s)), 6) AS entropy, CAST(sum(n) AS BIGINT) AS size FROM t GROUP BY page_id")
+def byte_entropy(spark, d):
+    """Entropy of the bytes of a member."""
+    return analytics.text_entropy(table(spark, d, "pages"), "page_id", "html").select("page_id", r6(F.col("entropy"), "entropy"), "size")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(html, 'PK') THEN 'zip' WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN 'html' WHEN starts_with(html, '<?xml') THEN 'xml' WHEN starts_with(html, '<') THEN 'markup' ELSE 'unknown' END AS kind, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars FROM pages")
+def magic_and_tags(spark, d):
+    """Kind by first characters, and text without tags."""
+    return table(spark, d, "pages").select("page_id", analytics.magic(F.col("html")).alias("kind"), F.length(analytics.strip_tags(F.col("html"))).cast("long").alias("text_chars"))
+
+
+@query("WITH c AS (SELECT p_partkey AS id, (4278190080 + p_partkey * 7919) AS argb FROM part), u AS (SELECT id, argb, argb // 65536 % 256 AS r, argb // 256 % 256 AS g, argb % 256 AS b FROM c) SELECT id, CAST(argb AS BIGINT) AS argb, round(r / 255, 6) AS r, round(g / 255, 6) AS g, round(b / 255, 6) AS b, '#' || lower(lpad(printf('%x', r::BIGINT * 65536 + g::BIGINT * 256 + b::BIGINT), 6, '0')) AS hex FROM u")
+def color_pack_unpack(spark, d):
+    """Packed colours, their channels and back."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(4278190080) + F.col("p_partkey") * 7919).alias("packed"))
+    c = c.select("id", *[laws.channel_of(F.col("packed"), s).alias(n) for n, s in (("a", 24), ("r", 16), ("g", 8), ("b", 0))])
+    packed = laws.pack_argb(*[F.col(n) for n in "argb"])
+    return c.select("id", packed.alias("argb"), *[r6(F.col(n), n) for n in "rgb"], F.concat(F.lit("#"), F.lower(F.lpad(F.hex(packed.bitwiseAND(16777215)), 6, "0"))).alias("hex"))
+
+
+@query("WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 11 <> 0) SELECT CASE WHEN a.k IS NULL THEN 'missing-in-a' WHEN b.k IS NULL THEN 'missing-in-b' WHEN a.v = b.v THEN 'same' ELSE 'different' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
+def ab_compare(spark, d):
+    """Two snapshots compared by name."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    a = o.where("k % 7 <> 0").select("k", F.col("v").alias("va"))
+    b = o.where("k % 11 <> 0").select("k", F.when(F.col("k") % 10 == 0, F.col("v") + 1).otherwise(F.col("v")).alias("vb"))
+    verdict = F.when(F.col("va").isNull(), "missing-in-a").when(F.col("vb").isNull(), "missing-in-b").when(F.col("va") == F.col("vb"), "same").otherwise("different")
+    return a.join(b, "k", "full_outer").groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sha256(text) AS blob, min(doc_id) AS first_doc, count(*) AS refs FROM documents GROUP BY 1")
+def blob_dedup(spark, d):
+    """Contents by digest, each stored once."""
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("blob")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("refs"))
+
+
+@query("WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first FROM lineitem GROUP BY ALL) SELECT l_orderkey AS doc, l_partkey AS context, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first, l_partkey) - 1 AS id FROM f")
+def first_appearance_ids(spark, d):
+    """Dictionary ids by first appearance."""
+    f = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first"))
+    return f.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("context"), (F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("first", "l_partkey")) - 1).cast("long").alias("id"))
 
 
-QUERIES = {"inspect_pages": inspect_pages}
-SQL = {
-    "inspect_pages": "SELECT l_orderkey AS page, count(*) AS strokes, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS points, count(DISTINCT l_returnflag) AS tools FROM lineitem GROUP BY l_orderkey"
-}
+@query(f"WITH {P} SELECT stroke, family AS object, max_by(id, i) AS latest, min_by(id, i) AS root, count(*) AS declared FROM points GROUP BY stroke, family")
+def object_replay(spark, d):
+    """Last declaration of each object, and its first."""
+    return points(spark, d).groupBy("stroke", F.col("family").alias("object")).agg(F.max_by("id", "i").alias("latest"), F.min_by("id", "i").alias("root"), F.count(F.lit(1)).alias("declared"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
