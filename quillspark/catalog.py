@@ -339,10 +339,10 @@ def template_lines(spark, d):
     return p.where("h > 0 and pitch > 0").select("page", "pitch", F.explode(F.expr("sequence(0L, ceil(h / pitch) - 1)")).alias("k")).select("page", (F.col("k") * F.col("pitch")).alias("y"))
 
 
-@query("WITH q AS (SELECT o_custkey AS page, CAST(o_totalprice AS BIGINT) % 256 AS a, CAST(o_totalprice AS BIGINT) * 7 % 256 AS b FROM orders), m AS (SELECT page, a, b, a < 235 OR b < 235 AS ink, abs(a - b) > 24 AS differs FROM q) SELECT page, count(*) AS pixels, count(*) FILTER (differs) AS differing, round(1 - count(*) FILTER (differs) / count(*), 6) AS match, round(CASE WHEN count(*) FILTER (ink) = 0 THEN 1.0 ELSE 1 - count(*) FILTER (differs AND ink) / count(*) FILTER (ink) END, 6) AS ink_match FROM m GROUP BY page")
+@query("WITH q AS (SELECT o_custkey AS page, CAST(floor(o_totalprice) AS BIGINT) % 256 AS a, CAST(floor(o_totalprice) AS BIGINT) * 7 % 256 AS b FROM orders), m AS (SELECT page, a, b, a < 235 OR b < 235 AS ink, abs(a - b) > 24 AS differs FROM q) SELECT page, count(*) AS pixels, count(*) FILTER (differs) AS differing, round(1 - count(*) FILTER (differs) / count(*), 6) AS match, round(CASE WHEN count(*) FILTER (ink) = 0 THEN 1.0 ELSE 1 - count(*) FILTER (differs AND ink) / count(*) FILTER (ink) END, 6) AS ink_match FROM m GROUP BY page")
 def pixel_match(spark, d):
     """Share of equal pixels, all and inked."""
-    price = F.round("o_totalprice").cast("long")
+    price = F.floor("o_totalprice")
     q = table(spark, d, "orders").select(F.col("o_custkey").alias("page"), (price % 256).alias("a"), (price * 7 % 256).alias("b"))
     m = analytics.pixel_match(q.withColumn("ink", (F.col("a") < 235) | (F.col("b") < 235)), 24)
     return m.select("page", "pixels", "differing", r6(F.col("match"), "match"), r6(F.col("ink_match"), "ink_match"))
