@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import commonest, materialize
 from .words import raw, slices
 
 STATES = 8
@@ -258,7 +258,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     ends = training.count()
     sums = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n_train, v = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
-    top = counts.orderBy(F.col("c").desc(), "word").limit(COUNTED).toPandas()
+    top = commonest(counts, "c", COUNTED).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words = [w.encode() for w in top["word"]]
     vocabulary = Vocabulary(words, [int(c) for c in top["c"]])
     table = materialize(symbols(slim, vocabulary), "lm-symbols")
