@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import commonest, materialize
 from .words import slices
 
 #: Labelled rows that a model is fitted on at most, the first by a hash of their id (1 MB when sent).
@@ -184,7 +185,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     stands for those it begins with.
     """
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    bad = {r["form"]: r["n"] for r in _count(toxic, None).where(F.col("n") >= MIN_SUPPORT).orderBy(F.col("n").desc(), "form").limit(CANDIDATES).collect()}
+    bad = {r["form"]: r["n"] for r in commonest(materialize(_count(toxic, None).where(F.col("n") >= MIN_SUPPORT), "tox-forms"), "n", CANDIDATES).collect()}
     good = {r["form"]: r["n"] for r in _count(clean, frozenset(bad)).collect()} if bad else {}
     held = {f: n for f, n in bad.items() if n >= MIN_PRECISION * (n + good.get(f, 0))}
     terms, stems = [], []
