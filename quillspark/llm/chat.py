@@ -123,3 +123,21 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _escaped(c: str) -> str:
+    return f"(2 * length({c}) - length(translate({c}, '\\<[', '')))"
+
+
+SQL = f"""
+WITH r AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM r)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = '{LEARNED_ROLE}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = '{LEARNED_ROLE}'), '')) AS loss_sha256,
+       CAST(sum({len(TURN) + len(END) + 1} + {_escaped("role")} + length(role) - length(replace(role, chr(10), '')) + {_escaped("text")}) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""

@@ -327,3 +327,10 @@ def test_pipeline(spark):
     assert mix.columns == docs.columns
     packed = c.run(spark, SF)
     assert packed.agg(F.sum("length")).first()[0] > 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_equals_sql(spark, name):
+    from compare import difference
+
+    assert difference(spark, registry.queries()[name], registry.oracle_sql()[name], SF) is None
