@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import laws
-from .operators import analytics, rules, sequences
+from .operators import analytics, geometry, rules, sequences
 from .shipping import ship_package
 from .streaming import debounce
 
@@ -398,6 +398,57 @@ def object_replay(spark, d):
     return points(spark, d).groupBy("stroke", F.col("family").alias("object")).agg(F.max_by("id", "i").alias("latest"), F.min_by("id", "i").alias("root"), F.count(F.lit(1)).alias("declared"))
 
 
+@query(f"WITH {DECIDED}, st AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 1000 ELSE c_custkey * 1000 - 1 END AS was, c_custkey % 4 <> 0 AS exist, CASE WHEN c_custkey % 5 = 2 THEN c_custkey * 1000 END AS failed FROM customer WHERE c_custkey % 6 <> 1) SELECT CASE WHEN reason IS NOT NULL THEN 'excluded' WHEN was = mtime AND exist THEN 'synced' WHEN failed = mtime THEN 'failed' ELSE 'pending' END AS state, count(*) AS n FROM reasons LEFT JOIN st USING (key) GROUP BY 1")
+def snapshot_states(spark, d):
+    """Documents by state: excluded, synced, failed or pending."""
+    docs = rules.output_plan(decided(spark, d))
+    k = F.col("key")
+    state = docs.where(k % 6 != 1).select(k, F.when(k % 3 == 0, F.col("mtime")).otherwise(F.col("mtime") - 1).alias("mtime"), F.array("path").alias("outputs"), (k % 4 != 0).alias("exist"), F.when(k % 5 == 2, F.col("mtime")).alias("failed_mtime"))
+    return rules.snapshot(docs, state).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH o AS (SELECT l_orderkey AS doc, l_partkey AS output, l_linenumber % 2 = 1 AS old, l_linenumber % 3 = 1 AS new FROM lineitem) SELECT DISTINCT doc, output FROM o WHERE old EXCEPT SELECT doc, output FROM o WHERE new")
+def stale_outputs(spark, d):
+    """Outputs of the last pass that this one does not make."""
+    n = F.col("l_linenumber")
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_set(F.when(n % 2 == 1, F.col("l_partkey"))).alias("old"), F.collect_set(F.when(n % 3 == 1, F.col("l_partkey"))).alias("new"))
+    return o.select("doc", F.explode(F.array_except("old", "new")).alias("output"))
+
+
+@query("WITH p AS (SELECT p_partkey AS page, p_size * 10.0::DOUBLE AS w, p_size * 7.0::DOUBLE + 100 AS h FROM part), s AS (SELECT *, least(595 / w, 842 / h) AS s FROM p) SELECT page, round(s, 6) AS scale, round((595 - w * s) / 2, 6) AS ox, round((842 - h * s) / 2, 6) AS oy FROM s")
+def fit_page(spark, d):
+    """Scale and offsets that centre a page on A4."""
+    size = F.col("p_size")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("page"), (size * 10.0).alias("w"), (size * 7.0 + 100).alias("h"))
+    s = F.least(595 / F.col("w"), 842 / F.col("h"))
+    return p.select("page", r6(s, "scale"), r6((595 - F.col("w") * s) / 2, "ox"), r6((842 - F.col("h") * s) / 2, "oy"))
+
+
+@query("WITH n AS (SELECT o_custkey AS layer_of, o_orderkey AS layer, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) SELECT layer_of AS page, layer, CAST(sum(n) OVER (PARTITION BY layer_of ORDER BY layer) - n AS BIGINT) AS offset_, n AS length FROM n")
+def ragged_slice(spark, d):
+    """Where each layer's strokes begin in its page's flat list."""
+    n = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.count(F.lit(1)).alias("length"))
+    up = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return n.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("layer"), (F.sum("length").over(up) - F.col("length")).alias("offset_"), "length")
+
+
+@query(f"WITH {P}, s AS (SELECT stroke, max(v) AS y FROM points GROUP BY stroke) SELECT stroke, round(CASE WHEN y > 200 - 48 THEN greatest(200, y + 48) ELSE 200 END, 6) AS height FROM s")
+def page_growth(spark, d):
+    """Height of a page that grows with its ink."""
+    s = points(spark, d).groupBy("stroke").agg(F.max("v").alias("y"))
+    return s.select("stroke", r6(F.when(F.col("y") > 200 - 48, F.greatest(F.lit(200.0), F.col("y") + 48)).otherwise(200.0), "height"))
+
+
+def outline_polygon(spark, d):
+    """Outlines of strokes with a width at each point (no SQL: held against known shapes in the tests)."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("stroke"), F.posexplode(F.slice("embedding", 1, 32)).alias("i", "x"), "embedding")
+    pts = e.select("stroke", "i", F.col("x").cast("double").alias("x"), F.element_at("embedding", F.col("i") + 33).cast("double").alias("y"), F.lit(0.05).alias("half"))
+    return geometry.outlines(pts)
+
+
+QUERIES["outline_polygon"] = outline_polygon
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -67,3 +67,11 @@ def sync_actions(docs: DataFrame, state: DataFrame) -> DataFrame:
         .otherwise("exclude")
     )
     return both.select("key", action.alias("action"))
+
+
+def snapshot(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """Add ``state``: excluded, synced, failed or pending; a failure counts only for the time it happened at."""
+    s = state.select("key", F.col("mtime").alias("was"), "outputs", "exist", "failed_mtime")
+    done = (F.col("was") == F.col("mtime")) & F.array_contains("outputs", F.col("path")) & F.col("exist")
+    case = F.when(~F.col("wanted"), "excluded").when(done, "synced").when(F.col("failed_mtime") == F.col("mtime"), "failed").otherwise("pending")
+    return docs.join(s, "key", "left").withColumn("state", case)
