@@ -181,24 +181,25 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Terms and stems that tell toxic rows from others; ``rows`` (text, toxic) is the bounded sample.
 
     A form holds if it is in `MIN_SUPPORT` toxic rows and `MIN_PRECISION` of
-    the rows with it are toxic.  A stem holds only if it is in more toxic rows
-    than any word or longer stem that it begins.
+    the rows with it are toxic.  Of forms with equal toxic rows, the longest
+    stands for those it begins with.
     """
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
     bad = {r["form"]: r["n"] for r in commonest(materialize(_count(toxic, None).where(F.col("n") >= MIN_SUPPORT), "tox-forms"), "n", CANDIDATES).collect()}
     good = {r["form"]: r["n"] for r in _count(clean, frozenset(bad)).collect()} if bad else {}
     held = {f: n for f, n in bad.items() if n >= MIN_PRECISION * (n + good.get(f, 0))}
-    terms, stems, begun = [], set(), {}
-    for form in sorted(held, key=lambda f: (-held[f], f.endswith("*"), -len(f), f)):
+    terms, stems = [], []
+    for form in sorted(held, key=lambda f: (-held[f], -len(f), f)):
         base = form.rstrip("*")
-        if any(base[:n] in stems for n in STEM if n <= len(base)) or (form.endswith("*") and begun.get(base, 0) >= held[form]):
+        if any(base.startswith(s) or (form.endswith("*") and s.startswith(base)) for s in stems):
             continue
-        stems.add(base) if form.endswith("*") else terms.append(base)
-        for n in STEM:
-            if n <= len(base):
-                begun[base[:n]] = max(begun.get(base[:n], 0), held[form])
-    terms = [t for t in terms if not any(t[:n] in stems for n in STEM)]
-    stems = sorted(stems, key=lambda x: (-held[x + "*"], x))
+        if form.endswith("*"):
+            if held.get(base) == held[form]:  # always the whole word
+                continue
+            stems.append(base)
+        elif not any(t == base for t in terms):
+            terms.append(base)
+    terms = [t for t in terms if not any(t.startswith(s) for s in stems)]
     return Lexicon(terms[:LEXICON], stems[:LEXICON])
 
 
