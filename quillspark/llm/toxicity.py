@@ -19,18 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import commonest, materialize
 from .words import slices
 
 #: Labelled rows that a model is fitted on at most, the first by a hash of their id (1 MB when sent).
 SAMPLE = 50_000
-LEXICON = 2_000
 MIN_SUPPORT = 3
 MIN_PRECISION = 0.9
 #: Stems have so many letters; a term may be misspelt by one edit if it has five letters at least.
 STEM = range(3, 9)
 FUZZY_FROM = 5
-CANDIDATES = 50_000
 WINDOW = 4
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -162,45 +159,50 @@ def _forms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
 
 
-def _count(rows: DataFrame, only: frozenset | None) -> DataFrame:
+def _count(rows: DataFrame) -> DataFrame:
+    """(form, bad, good): in how many toxic and how many other rows each form is."""
+
+    def flushed(bad: Counter, good: Counter) -> pa.RecordBatch:
+        forms = list(bad.keys() | good.keys())
+        out = pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array([bad[f] for f in forms], pa.int64()), pa.array([good[f] for f in forms], pa.int64())], names=["form", "bad", "good"])
+        bad.clear()
+        good.clear()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        bad, good = Counter(), Counter()
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                forms = _forms(x or "")
-                counts.update(forms if only is None else forms & only)
-                if len(counts) > 300_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
-                    counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
+            for x, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (bad if toxic else good).update(_forms(x or ""))
+                if len(bad) + len(good) > 300_000:
+                    yield flushed(bad, good)
+        yield flushed(bad, good)
 
-    return rows.select("text").mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    return rows.where("toxic in (0, 1)").select("text", "toxic").mapInArrow(run, "form string, bad long, good long").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Terms and stems that tell toxic rows from others; ``rows`` (text, toxic) is the bounded sample.
 
     A form holds if it is in `MIN_SUPPORT` toxic rows and `MIN_PRECISION` of
-    the rows with it are toxic.  Of forms with equal toxic rows, the longest
-    stands for those it begins with.
+    the rows with it are toxic; every form that holds is collected.  Of forms
+    with equal toxic rows, the longest stands for those it begins with.
     """
-    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    bad = {r["form"]: r["n"] for r in commonest(materialize(_count(toxic, None).where(F.col("n") >= MIN_SUPPORT), "tox-forms"), "n", CANDIDATES).collect()}
-    good = {r["form"]: r["n"] for r in _count(clean, frozenset(bad)).collect()} if bad else {}
-    held = {f: n for f, n in bad.items() if n >= MIN_PRECISION * (n + good.get(f, 0))}
-    terms, stems = [], []
+    holds = (F.col("bad") >= MIN_SUPPORT) & (F.col("bad") >= MIN_PRECISION * (F.col("bad") + F.col("good")))
+    held = {r["form"]: r["bad"] for r in _count(rows).where(holds).select("form", "bad").collect()}
+    terms, stems, begun = {}, set(), set()  # begun: what stems begin with
     for form in sorted(held, key=lambda f: (-held[f], -len(f), f)):
         base = form.rstrip("*")
-        if any(base.startswith(s) or (form.endswith("*") and s.startswith(base)) for s in stems):
+        if any(base[:n] in stems for n in STEM) or (form.endswith("*") and base in begun):
             continue
         if form.endswith("*"):
             if held.get(base) == held[form]:  # always the whole word
                 continue
-            stems.append(base)
-        elif not any(t == base for t in terms):
-            terms.append(base)
-    terms = [t for t in terms if not any(t.startswith(s) for s in stems)]
-    return Lexicon(terms[:LEXICON], stems[:LEXICON])
+            stems.add(base)
+            begun.update(base[:n] for n in range(1, len(base) + 1))
+        else:
+            terms[base] = None
+    return Lexicon([t for t in terms if not any(t[:n] in stems for n in STEM)], sorted(stems))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:

@@ -275,6 +275,16 @@ def test_toxicity(spark, odd):
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
 
 
+def test_lexicon_keeps_rare_terms_among_many_common_forms(spark):
+    """Everyday words in more toxic rows than a rare term, with over 50,000 forms, do not crowd it out."""
+    rng = np.random.default_rng(4)
+    common = " ".join("".join(chr(97 + c) for c in word) for word in rng.integers(0, 26, (15_000, 10)))
+    texts = [(common, 1)] * 4 + [(common, 0)] * 4 + [("grobnik", 1)] * 3 + [("calm", 0)] * 3
+    assert len(toxicity._forms(common)) > 50_000
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
+    assert lexicon.match("grobnik") and not any(lexicon.match(w) for w in common.split()[:50] if not w.startswith("grob")) and not lexicon.match("calm")
+
+
 def test_pii(spark, odd):
     df, rows = odd
     t = "a@b.co x.y@@z.de 1.2.3.4 999.1.1.1, 4111 1111 1111 1111 +1 (555) 010-9999 d.e@f.g-h.com@i.j 00001.2.3.4"
