@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .words import raw, slices
 
 BUCKETS = 1 << 15
-#: Languages that can be learned, the commonest first (a table of 8 MB for as many).
-MOST_LANGUAGES = 64
+#: A task holds counts of so many languages at once (17 MB) and sends them on when another comes.
+HELD = 64
 SWITCH_PENALTY = 8.0
 SMOOTHING = 0.5
 #: A language is a candidate for a script if so large a share of its words is in it.
@@ -82,7 +82,8 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[n
     flat = np.concatenate([scores[k] for k in order]) if steps else np.empty((0, 1))
     offset = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.empty(0, int)
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than each step
-    back = np.empty(flat.shape, dtype=np.uint8)
+    pointer = np.min_scalar_type(flat.shape[1])
+    back = np.empty(flat.shape, dtype=pointer)
     best = np.zeros((len(order), flat.shape[1]), dtype=np.float32)
     for t in range(steps):
         n = alive[t]
@@ -94,9 +95,9 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[n
         top = b.argmax(axis=1)
         jump = b[np.arange(n), top][:, None] - penalty
         stay = b >= jump
-        back[at] = np.where(stay, np.arange(b.shape[1], dtype=np.uint8), top[:, None].astype(np.uint8))
+        back[at] = np.where(stay, np.arange(b.shape[1], dtype=pointer), top[:, None].astype(pointer))
         best[:n] = np.where(stay, b, jump) + flat[at]
-    labels = np.empty(len(flat), dtype=np.uint8)
+    labels = np.empty(len(flat), dtype=pointer)
     state = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
@@ -104,31 +105,37 @@ def viterbi(scores: list[np.ndarray], penalty: float = SWITCH_PENALTY) -> list[n
         labels[at] = state[:n]
         if t:
             state[:n] = back[at, state[:n]]
-    out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(scores)
+    out: list[np.ndarray] = [np.empty(0, pointer)] * len(scores)
     for k, o, n in zip(order, offset, lengths):
         out[k] = labels[o : o + n]
     return out
 
 
 def train(docs: DataFrame, text: str, lang: str) -> Model:
-    """Counts over every row with a language, summed across tasks; only tables of fixed size reach the driver."""
+    """Counts over every row with a language, summed across tasks; a table of fixed size for each language reaches the driver."""
+
+    def flushed(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "slot", "n"])
+        counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, x in zip(batch.column(1).to_pylist(), raw(batch.column(0))):
                 bucket, begin, script, _ = words_of(x)
+                if len(counts) >= HELD and name not in counts:
+                    yield from flushed(counts)
                 c = counts.setdefault(name, np.zeros(BUCKETS + SCRIPTS, dtype=np.int64))
                 if len(begin):
                     c[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     c[BUCKETS:] += np.bincount(script, minlength=SCRIPTS)
-        for name, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "slot", "n"])
+        yield from flushed(counts)
 
     known = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    names = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect())
-    sums = known.where(F.col("lang").isin(names)).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    sums = known.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(names), BUCKETS + SCRIPTS))
     table[sums["lang"].map({x: k for k, x in enumerate(names)}).to_numpy(dtype=np.int64), sums["slot"].to_numpy()] = sums["n"].to_numpy()
     return Model(names, table[:, :BUCKETS], table[:, BUCKETS:])

@@ -306,6 +306,16 @@ def test_langid(spark, odd):
     assert len(langid.identify(df.limit(0), langid.train(df.limit(0), "text", "lang")).collect()) == 0
 
 
+def test_langid_learns_every_language(spark):
+    """300 languages of one word each: beyond the former 64 and beyond one byte."""
+    said = {f"l{k:03}": "".join(chr(97 + (k * 7 + j * j * (k + 3)) % 26) for j in range(3)) + chr(97 + k // 26) + chr(97 + k % 26) for k in range(300)}
+    docs = spark.createDataFrame([(k, " ".join([word] * 4), lang) for k, (lang, word) in enumerate(said.items())], "doc_id long, text string, lang string")
+    model = langid.train(docs, "text", "lang")
+    assert model.names == sorted(said)
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect())
+    assert [x.tolist() for x in langid.viterbi([np.eye(300, dtype=np.float32)[[299, 299]]])] == [[299, 299]]
+
+
 def test_viterbi_against_enumeration():
     import itertools
 
