@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, langid, lm, mixing, ngram_join, packing, pii, quality, registry, toxicity
+from quillspark.llm import chat, exact_dedup, langid, lm, mixing, ngram_join, packing, pii, quality, registry, store, toxicity
 from quillspark.llm.graph import components
 from quillspark.llm.store import table
 
@@ -116,6 +116,39 @@ def test_ngram_join(spark, width, percent):
     assert {i: r.n_shingles for i, r in got.items()} == sizes
 
 
+@pytest.mark.parametrize("small", [2, 8])
+def test_ngram_join_differences_from_pivots(spark, monkeypatch, small):
+    """Copies of a few originals at all distances, so that large groups stay open and their differences are indexed."""
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    rng = np.random.default_rng(11)
+    originals = [[f"o{k}_{j}" for j in range(n)] for k, n in enumerate((60, 150, 300))]
+    texts = {}
+    for i in range(400):
+        w = list(originals[i % 3])
+        for _ in range(int(rng.integers(0, len(w) // 9))):
+            at = int(rng.integers(0, len(w)))
+            kind = rng.integers(0, 4)  # replaced by a word of its own or one that others have too, dropped, repeated
+            w[at : at + 1] = [[f"n{i}_{at}"], [f"c{rng.integers(0, 5)}"], [], [w[at]] * 2][kind]
+        texts[i] = " ".join(w)
+    seen = []
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: seen.append(name) or store.materialize(df, name))
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, width=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)[0] and "nj-below" in seen
+
+
+def test_shared_differences_is_a_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        p = set(range(60))
+        a, b = (set(rng.choice(60, rng.integers(30, 61), replace=False)) | set(rng.integers(60, 75, rng.integers(0, 8))) for _ in range(2))
+        percent = int(rng.integers(50, 95))
+        alike = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+        if alike(a, b) and not alike(a, p):
+            for x, apart in ((a, True), (b, not alike(b, p))):
+                assert len((a ^ p) & (b ^ p)) >= ngram_join.shared_differences(len(x - p), len(p - x), len(x), 60, apart, percent)
+
+
 def test_ngram_join_odd(spark, odd):
     df, rows = odd
     got = ngram_join.ngram_join(df).collect()
@@ -246,23 +279,91 @@ def test_lm_scores(spark, odd):
     assert docs.s > docs.b
 
 
-def test_levenshtein_on_trie():
-    lexicon = toxicity.Lexicon(["worthless", "idiot", "idle"], ["low"])
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_against_edit_distances():
+    rng = np.random.default_rng(3)
+    word = lambda lo, hi: "".join(rng.choice(list("abc"), rng.integers(lo, hi)))
+    for _ in range(60):
+        terms = {word(2, 7): toxicity.Term(float(rng.random()) + 0.1, bool(rng.random() < 0.4), bool(rng.random() < 0.7)) for _ in range(8)}
+        lexicon = toxicity.Lexicon(terms)
+        for _ in range(60):
+            w = word(1, 10)
+            near = {}
+            for t, x in terms.items():
+                d = min(edits(w[:n], t) for n in range(len(w) + 1)) if x.open else edits(w, t)
+                if d == 0 or d == 1 and x.fuzzy:
+                    near[t] = d
+            got = lexicon.match(w)
+            assert (got is None) == (not near), (w, terms, got, near)
+            if got:
+                assert got[1] == near[got[0]] == min(near.values())
+    lexicon = toxicity.Lexicon({"idiot": toxicity.Term(3.0), "low": toxicity.Term(2.0, True, False)})
+    assert [lexicon.match(w) for w in ("idiot", "idiott", "idot", "lowest", "clear", "lxw")] == [("idiot", 0), ("idiot", 1), ("idiot", 1), ("low", 0), None, None]
+    assert [h.quoted for h in toxicity.hits('you idiot, she said "idiot" today', lexicon, {})] == [False, True]
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
-            row = new
-        return row[-1]
 
-    for word in ("idiot", "idiott", "idot", "idlot", "worthles", "idl", "wortles"):
-        for most in (0, 1, 2):
-            assert sorted(lexicon.within(word, most)) == sorted((t, edits(word, t)) for t in lexicon.terms if edits(word, t) <= most)
-    assert [lexicon.match(w) for w in ("idiot", "idiott", "lowest", "clear")] == ["exact", "fuzzy", "stem", None]
-    assert [h[3] for h in toxicity.hits('you idiot, she said "idiot" today', lexicon, {})] == [False, True]
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """Rows whose toxic half has one of four words, some misspelt; rows in quotes after "reports" are not toxic."""
+    rng = np.random.default_rng(12)
+    plain = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(80)]
+    say = lambda n: " ".join(rng.choice(plain, n))
+    slurs = ["zornwurst", "quibblon", "trompelix", "wuxmaton"]
+    rows = []
+    for k in range(400):
+        slur = slurs[k % 4]
+        if k % 3 == 0:
+            rows.append((k, f"{say(12)} {slur if k % 9 else slur[:3] + 'y' + slur[4:]} {say(6)} {slurs[(k + 1) % 4]}", 1))
+        elif k % 10 == 1:
+            rows.append((k, f"{say(9)} reports {slur} {say(9)}", 0))
+        else:
+            rows.append((k, say(20), 0))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(9999, None), (9998, 7), (None, 1)], "doc_id long, toxic int")
+    return docs, labels, slurs, say, toxicity.train(docs, labels)
+
+
+def test_toxicity_finds_misspellings_and_tells_quotation(spark, abuse):
+    _, _, slurs, say, model = abuse
+    assert set(slurs) <= set(model.lexicon.terms) and "reports" in model.lexicon.told
+    texts = {0: f"{say(10)} {slurs[0]} {say(5)} {slurs[1]}", 1: f"{say(10)} zornwrst {say(5)} quibbblon trompelis", 2: f'{say(10)} reports {slurs[0]} {say(9)} "{slurs[1]}" {say(9)}', 3: say(20), 4: f"{say(10)} zornwurst {say(10)}", 5: f"{say(10)} zornwyrst {say(10)}", 6: None}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([*texts.items()], "doc_id long, text string"), model).collect()}
+    assert got[0].score >= toxicity.THRESHOLD and got[1].score >= toxicity.THRESHOLD and [h.edits for h in got[1].hits] == [1, 1, 1]
+    assert got[2].score < 0.5 and all(h.quoted for h in got[2].hits) and len(got[2].hits) == 2
+    assert got[4].score > got[5].score > got[3].score == got[6].score
+
+
+def test_lexicon_against_brute_force(abuse):
+    """Every form that holds is chosen or covered, and nothing else is."""
+    docs, labels, _, _, model = abuse
+    import math
+
+    toxic = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1)}
+    bad, good = Counter(), Counter()
+    for r in docs.collect():
+        (bad if toxic[r.doc_id] else good).update(toxicity._forms(r.text))
+    b, g = sum(toxic.values()), len(toxic) - sum(toxic.values())
+    tested = sum(bad[f] + good[f] > 1 for f in bad.keys() | good.keys())
+
+    def holds(f):
+        n, share = bad[f] + good[f], b / (b + g)
+        ratio = bad[f] * math.log(bad[f] / n / share) + (good[f] * math.log(good[f] / n / (1 - share)) if good[f] else 0)
+        return bad[f] > 1 and bad[f] >= toxicity.MIN_PRECISION * n and ratio >= math.log(tested)
+
+    held = {f: (bad[f], good[f]) for f in bad if holds(f)}
+    assert toxicity.chosen_terms(held, b, g).keys() == model.lexicon.terms.keys()
+    for f in held:
+        base = f.rstrip("*")
+        assert any(t == base or t.startswith(base) and f.endswith("*") or x.open and base.startswith(t) for t, x in model.lexicon.terms.items())
 
 
 def test_toxicity(spark, odd):
@@ -271,18 +372,21 @@ def test_toxicity(spark, odd):
     c = Counter((r.toxic, r.predicted) for r in got.join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").collect())
     assert c[(1, 1)] > 2 * c[(1, 0)] and c[(0, 1)] <= 0.02 * c[(0, 0)]
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    scored = toxicity.score(df, toxicity.train(df, none)).collect()
+    model = toxicity.train(df, none)
+    scored = toxicity.score(df, model).collect()
     assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
+    assert toxicity.score(df.limit(0), model).count() == 0
 
 
 def test_lexicon_keeps_rare_terms_among_many_common_forms(spark):
-    """Everyday words in more toxic rows than a rare term, with over 50,000 forms, do not crowd it out."""
+    """Everyday words in more toxic rows than a rarer term, with over 50,000 forms, do not crowd it out."""
     rng = np.random.default_rng(4)
-    common = " ".join("".join(chr(97 + c) for c in word) for word in rng.integers(0, 26, (15_000, 10)))
-    texts = [(common, 1)] * 4 + [(common, 0)] * 4 + [("grobnik", 1)] * 3 + [("calm", 0)] * 3
+    common = " ".join("".join(chr(97 + c) for c in word) for word in rng.integers(0, 26, (9_000, 10)))
+    texts = [(common, 1)] * 20 + [(common, 0)] * 40 + [("grobnik", 1)] * 12 + [("calm", 0)] * 40
     assert len(toxicity._forms(common)) > 50_000
-    lexicon = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, toxic int"))
-    assert lexicon.match("grobnik") and not any(lexicon.match(w) for w in common.split()[:50] if not w.startswith("grob")) and not lexicon.match("calm")
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    lexicon = toxicity.train(docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(texts)], "doc_id long, toxic int")).lexicon
+    assert lexicon.match("grobnik") and not any(lexicon.match(w) for w in common.split()[:50] if not w.startswith("gro")) and not lexicon.match("calm")
 
 
 def test_pii(spark, odd):
@@ -290,10 +394,62 @@ def test_pii(spark, odd):
     t = "a@b.co x.y@@z.de 1.2.3.4 999.1.1.1, 4111 1111 1111 1111 +1 (555) 010-9999 d.e@f.g-h.com@i.j 00001.2.3.4"
     kinds = [(k, t[a:b]) for k, a, b in pii.base_spans(t)]
     assert kinds == [("email", "a@b.co"), ("email", "d.e@f.g-h.com"), ("ip", "1.2.3.4"), ("ip", "00001.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999")]
-    texts = [(k, f"the password={'abc12345' * 2}{k} and 1.2.3.{k}") for k in range(8)] + [(9, "version1234567 of it")]
-    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert all("id:" in found[k] and "ip:" in found[k] for k in range(8)) and found[9] == ""
     assert pii.find_personal_data(df).count() == len(rows)
+    assert pii.find_personal_data(df.limit(0)).count() == 0
+
+
+def contract_spans(text):
+    """The fixed forms as they are worded, by plain regular expressions."""
+    forms = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(re.sub("[^0-9]", "", s)) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(re.sub("[^0-9]", "", s)[::-1])) % 10 == 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    }
+    return [(kind, m.start(), m.end()) for kind, (form, passes) in forms.items() for m in re.finditer(form, text) if passes(m[0])]
+
+
+def test_pii_forms_against_the_wording():
+    rng = np.random.default_rng(8)
+    for alphabet in ("a.@-1 +", "0123. ", "0-9 +()", "4111 1-", "x%@.y2é+"):
+        for _ in range(1500):
+            text = "".join(rng.choice(list(alphabet), rng.integers(0, 60)))
+            assert pii.base_spans(text) == contract_spans(text), text
+    assert pii.base_spans("4242424242424242 +14155550123 1.2.3.4") == contract_spans("4242424242424242 +14155550123 1.2.3.4")
+    assert pii.base_spans("0" * 5000 + ".0.0.0") == [("ip", 0, 5006)] and pii.base_spans("9" * 5000 + ".0.0.0") == []
+
+
+def test_pii_bootstrap(spark):
+    """Keys teach their context, which finds strings of another shape, which teach a second context; everyday words teach none."""
+    rng = np.random.default_rng(6)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 40)) + "a1"
+    texts = [f'see the {key()} and passwort = "{key()}" end the house the dog' for _ in range(6)]
+    texts += [f'passwort = "Zx-{k}77" and secret_id: Zx-{k}77 ok the 20{k}0-01 day' for k in range(4)]
+    texts += ["secret_id: Qy.99x1 ok the Qy.99x2 day", "ask the a@b.co the c@d.co the e@f.co", "the " * 50, "no secret"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    cut = lambda k: [texts[k][int(a) : int(b)] for kind, a, b in (s.split(":") for s in rows[k].spans.split(",") if s) if kind == "id"]
+    assert all(cut(k) == [texts[k].split('"')[1]] for k in range(6))
+    assert all(cut(k) == [f"Zx-{k - 6}77"] * 2 for k in range(6, 10))
+    assert cut(10) == ["Qy.99x1"] and not any(cut(k) for k in (11, 12, 13))
+
+
+def test_pii_patterns_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    graph = [(f"p{rng.integers(0, 12)}", f"i{rng.integers(0, 30)}", bool(rng.random() < 0.2)) for _ in range(200)]
+    total = {f"p{k}": int(rng.integers(1, 30)) for k in range(12)}
+    known = {i for _, i, k in graph if k}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for p in total:
+            filled = [i for q, i, _ in graph if q == p and i in known]
+            if len(set(filled)) >= pii.MIN_INSTANCES and len(filled) >= pii.MIN_SHARE * max(len(filled), total[p]):
+                good[p] = len(filled) / max(len(filled), total[p])
+        known |= {i for p, i, _ in graph if p in good}
+    counts = spark.createDataFrame([*total.items()], "pattern string, n long")
+    # An instance that one row calls known is known wherever it stands.
+    got = pii.good_patterns(spark.createDataFrame(graph, "pattern string, instance string, known boolean"), lambda patterns: counts)
+    assert {r.pattern: round(r.share, 9) for r in got.collect()} == {p: round(x, 9) for p, x in good.items()}
 
 
 def test_langid(spark, odd):
