@@ -17,6 +17,8 @@ TURN, END = "<|turn|>", "<|end|>"
 #: Escape codes: the escape character comes first when escaping and last when undoing it.
 CODES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\s"))
 LEARNED_ROLE = "assistant"
+#: What stands for a null message number while messages are put in order.
+FIRST = -(1 << 62)
 
 
 def escape(c: Column, line: bool = False) -> Column:
@@ -36,29 +38,24 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     ``message`` numbers the messages of a conversation.  Kinds: ``message``
     and ``edit`` set the text, ``delta`` appends to it, ``regenerate`` sets it
-    and drops every later message written before it.  Null text counts as
-    empty, and a null kind as ``message``.  Events of one sequence number are
-    taken in the order of their message, kind and text.  The role is the last
-    one given.
+    and undoes all that later messages had until then; a message of which
+    nothing is left is gone.  Null text counts as empty, and a null kind as
+    ``message``; null message numbers are one message, before all others.
+    Events of one sequence number are taken in the order of their message,
+    kind and text.  The role is the last one given; repeated events each count.
     """
     order = ["seq", "message", "kind", "text"]
-    e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "message", "role", F.coalesce("text", F.lit("")).alias("text"))
-    # A message is gone if an earlier one was regenerated after it was last set.
+    e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("message", F.lit(FIRST)).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    again = F.when(F.col("kind") == "regenerate", F.struct(*order))
+    earlier = Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("cut", F.max(again).over(earlier)).where(F.col("cut").isNull() | (F.struct(*order) > F.col("cut"))).drop("cut")
     sets = F.col("kind") != "delta"
     per = Window.partitionBy("conv_id", "message").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("version", F.sum(sets.cast("long")).over(per))
-    last = Window.partitionBy("conv_id", "message")
-    e = e.withColumn("latest", F.max("version").over(last)).where("version = latest or role is not null")
-    messages = e.groupBy("conv_id", "message").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("version") == F.col("latest"), F.struct(*order)))), lambda x: x["text"]), "").alias("text"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), F.struct(*order))).alias("role"),
-        F.max(F.when((F.col("version") == F.col("latest")) & (F.col("kind") != "delta"), F.col("seq"))).alias("set_at"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again_at"),
-        F.max("seq").alias("last_at"),
-    )
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.max("again_at").over(before)
-    return messages.withColumn("cut", cut).where("cut is null or last_at > cut").select("conv_id", "message", "role", "text")
+    e = e.withColumn("latest", F.max("version").over(Window.partitionBy("conv_id", "message"))).where("version = latest or role is not null")
+    parts = F.sort_array(F.collect_list(F.when(F.col("version") == F.col("latest"), F.struct(*order))))
+    messages = e.groupBy("conv_id", "message").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"), F.max_by("role", F.when(F.col("role").isNotNull(), F.struct(*order))).alias("role"))
+    return messages.select("conv_id", F.when(F.col("message") != FIRST, F.col("message")).alias("message"), "role", "text")
 
 
 def render(messages: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFrame:
