@@ -230,6 +230,34 @@ def test_mixing_near_targets_and_permutation(spark):
     assert sorted(r.p for r in p.collect()) == list(range(35))
 
 
+def test_mixing_shards(spark):
+    """Counts by shard sum to the totals, slots follow from them, and parts in slots are what is taken."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    _, plan = mixing._layout(docs, "text", "doc_id", "source", [], 0, 16, 1 << 12)
+    draws = {r["rank"]: r["draws"] for r in plan.collect()}
+    counts = mixing.draw_counts(plan).collect()
+    by_source = defaultdict(list)
+    for r in counts:
+        by_source[r["rank"]].append(r)
+    shards = {r["shard"] for r in counts}
+    assert len(shards) > 1 and len(by_source) == len(draws) > 1
+    for rank, rows in by_source.items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["shard"]):
+            assert r["first"] == at
+            at += r["n"]
+        assert at == draws[rank]
+        expected = draws[rank] / len(shards)
+        assert all(abs(r["n"] - expected) < 6 * expected**0.5 + 6 for r in rows)
+    slots = mixing.mix_slots(docs, block_words=16, stream_words=1 << 12)
+    whole = {r["doc_id"]: r for r in mixing.mix_sources(docs, block_words=16, stream_words=1 << 12).collect()}
+    got = slots.groupBy("doc_id").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.count_distinct("shard").alias("n")).collect()
+    assert {r["doc_id"]: (r["taken"], r["n"]) for r in got} == {i: (r["taken"], r["n_shards"]) for i, r in whole.items() if r["taken"]}
+    # The slot numbers of a source lie in the range that its shard has drawn.
+    first = {(r["rank"], r["shard"]): (r["first"], r["first"] + r["n"]) for r in counts}
+    assert all(first[r["source_rank"], r["shard"]][0] <= r["slot"] < first[r["source_rank"], r["shard"]][1] for r in slots.select("source_rank", "shard", "slot").distinct().collect())
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "<|turn|>\\n[INST]"), (1, 1, "assistant", "\\l<|end|>"), (1, 2, None, None), (2, 0, "assis\ntant", "x"), (2, 0, "assistant", ""), (None, 0, "user", "a"), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -247,6 +275,26 @@ def test_chat_folds_events(spark):
     assert got == [(0, "user", "HI"), (1, "assistant", "bye!")]
 
 
+def test_chat_folds_random_logs_as_written(spark):
+    rng = np.random.default_rng(21)
+    log = [(int(rng.integers(0, 40)), int(rng.integers(0, 25)), [None, "message", "edit", "delta", "delta", "regenerate"][rng.integers(0, 6)], [None, 0, 1, 2, 3][rng.integers(0, 5)], [None, "user", "assistant"][rng.integers(0, 3)], [None, "a", "b", "c"][rng.integers(0, 4)]) for _ in range(600)]
+    state = {}
+    first = lambda m: -1 if m is None else m
+    for conv, seq, message, kind, text, role in sorted((c, s, first(m), k or "message", t or "", r or "") for c, s, k, m, r, t in log):
+        messages = state.setdefault(conv, {})
+        if kind == "regenerate":
+            for later in [m for m in messages if m > message]:
+                del messages[later]
+        before = messages.get(message, (None, ""))
+        messages[message] = (role or before[0], before[1] + text if kind == "delta" else text)
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
+    got = {(r.conv_id, first(r.message)): (r.role, r.text) for r in chat.fold_events(df).collect()}
+    want = {(c, m): x for c, messages in state.items() for m, x in messages.items()}
+    assert got.keys() == want.keys() and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    lone = [k for k in want if sum((r[0], first(r[3])) == k and r[4] is not None for r in log) < 2]
+    assert lone and all(got[k][0] == want[k][0] for k in lone)
+
+
 def test_hmm_is_a_distribution_and_exact():
     rng = np.random.default_rng(0)
     emit = rng.random((3, lm.STATES))
