@@ -25,11 +25,51 @@ SMOOTHING = 0.5
 #: A language is a candidate for a script if so large a share of its words is in it.
 SCRIPT_SHARE = 0.001
 
-# Script of a character by the first byte of its UTF-8 form (fixed by the Unicode blocks).
-_SCRIPT = np.zeros(256, dtype=np.uint8)
-for _first, _last, _id in [(65, 90, 1), (97, 122, 1), (0xC3, 0xCA, 1), (0xCE, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD5, 4), (0xD6, 0xD7, 5), (0xD8, 0xDB, 6), (0xE0, 0xE0, 7), (0xE1, 0xE1, 8), (0xE3, 0xE3, 9), (0xE4, 0xE9, 10), (0xEA, 0xED, 11)]:
-    _SCRIPT[_first : _last + 1] = _id
-SCRIPTS = 12
+# First and last code point of the blocks of each script (fixed by Unicode).  A word of several scripts counts as the last in this list.
+_BLOCKS = {
+    "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F)],
+    "Hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)],
+    "Syriac": [(0x700, 0x74F)],
+    "Thaana": [(0x780, 0x7BF)],
+    "Devanagari": [(0x900, 0x97F)],
+    "Bengali": [(0x980, 0x9FF)],
+    "Gurmukhi": [(0xA00, 0xA7F)],
+    "Gujarati": [(0xA80, 0xAFF)],
+    "Oriya": [(0xB00, 0xB7F)],
+    "Tamil": [(0xB80, 0xBFF)],
+    "Telugu": [(0xC00, 0xC7F)],
+    "Kannada": [(0xC80, 0xCFF)],
+    "Malayalam": [(0xD00, 0xD7F)],
+    "Sinhala": [(0xD80, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)],
+    "Lao": [(0xE80, 0xEFF)],
+    "Tibetan": [(0xF00, 0xFFF)],
+    "Myanmar": [(0x1000, 0x109F)],
+    "Georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "Ethiopic": [(0x1200, 0x139F)],
+    "Cherokee": [(0x13A0, 0x13FF)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Mongolian": [(0x1800, 0x18AF)],
+    "Han": [(0x2E80, 0x2FDF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
+    "Bopomofo": [(0x3100, 0x312F)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+    "Hiragana": [(0x3040, 0x309F)],
+    "Katakana": [(0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)],
+}
+#: Scripts by number; 0 is any other script.
+SCRIPTS = 1 + len(_BLOCKS)
+_SCRIPT = np.zeros(0x32400, dtype=np.uint8)
+for _number, _ranges in enumerate(_BLOCKS.values(), 1):
+    for _first, _last in _ranges:
+        _SCRIPT[_first : _last + 1] = _number
+#: Code points past ASCII that part words: signs, spaces, punctuation and symbols.
+_PARTS = np.zeros(len(_SCRIPT), dtype=bool)
+for _first, _last in [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x200B), (0x200E, 0x206F), (0x20A0, 0x20CF), (0x2100, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x3020), (0xFF00, 0xFF20), (0x1F000, 0x1FAFF)]:
+    _PARTS[_first : _last + 1] = True
 _LETTERS = np.zeros(256, dtype=bool)  # bytes that stay; all others become a space
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -42,18 +82,25 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     b = np.frombuffer(b" " + text + b"   ", dtype=np.uint8)
     low = _LOWER[b]
     inside = _LETTERS[b]
+    lead = (b & 0xC0) != 0x80
+    if text.isascii():
+        script = _SCRIPT[b]
+    else:
+        points = np.minimum(np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(_SCRIPT) - 1)
+        sizes = np.diff(np.flatnonzero(lead))[1 : len(points) + 1]  # bytes of each character
+        script = np.zeros(len(b), dtype=np.uint8)
+        script[1:-3] = np.repeat(_SCRIPT[points], sizes)
+        parts = np.repeat(_PARTS[points], sizes)
+        inside[1:-3] &= ~parts
+        low[1:-3][parts] = 32
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     if not len(starts):
         return np.empty(0, np.int64), starts, starts, starts
     gram = low[:-3] | low[1:-2] << np.uint32(8) | low[2:-1] << np.uint32(16) | low[3:] << np.uint32(24)
     bucket = (gram * np.uint32(2654435761)) >> np.uint32(17)
     # N-grams begin at the space before a word and belong to the word that follows or holds them.
-    begin = starts - 1
-    lead = (b[:-3] & 0xC0) != 0x80
-    chars = np.add.reduceat((lead & inside[:-3]).astype(np.int64), starts)
-    # An encoded letter outside ASCII tells the script, unless it is an accented Latin one.
-    script = np.maximum.reduceat(_SCRIPT[b[:-3]], starts)
-    return bucket, begin, script.astype(np.int64), chars
+    chars = np.add.reduceat((lead & inside)[:-3].astype(np.int64), starts)
+    return bucket, starts - 1, np.maximum.reduceat(script[:-3], starts).astype(np.int64), chars
 
 
 class Model:
@@ -64,7 +111,7 @@ class Model:
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         used = share >= SCRIPT_SHARE
         used[:, ~used.any(axis=0)] = True
-        self.barred = np.where(used, 0.0, -50.0).T.astype(np.float32)
+        self.barred = np.where(used, 0.0, -np.inf).T.astype(np.float32)
 
     def word_scores(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         bucket, begin, script, chars = words_of(text)
