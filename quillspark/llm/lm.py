@@ -26,12 +26,15 @@ from .store import commonest, materialize
 from .words import raw, slices
 
 STATES = 8
-#: Words with a symbol of their own, and words whose counts are sent to executors (the commonest, about 30 MB there).
-VOCABULARY, COUNTED = 32_768, 200_000
+#: A word has a symbol of its own if it is at least one in so many training tokens, so at most so many words have.
+VOCABULARY = 49_152
+#: Words whose counts are sent to executors, the commonest (about 30 MB there); it decides where counts are looked up, never a result.
+COUNTED = 200_000
 CLASSES = 256
 ROUNDS = 5
-#: Training texts are cut into runs of so many tokens; scoring never cuts.
-RUN = 128
+#: Training handles texts in runs of so many tokens side by side, and so many runs at once; the
+#: probabilities before and after each run are those of the whole text.
+RUN, SLICE = 128, 4096
 SMOOTHING = 50.0
 SEED = 7
 END = 0
@@ -43,10 +46,10 @@ def class_of(word: bytes) -> int:
 
 
 class Vocabulary:
-    """Symbols and counts of the commonest training words."""
+    """Symbols and counts of the commonest training words; the first ``own`` of them have symbols of their own."""
 
-    def __init__(self, words: list[bytes], counts: list[int]):
-        self.known = {w: (1 + k if k < VOCABULARY else 1 + VOCABULARY + class_of(w), c) for k, (w, c) in enumerate(zip(words, counts))}
+    def __init__(self, words: list[bytes], counts: list[int], own: int):
+        self.known = {w: (1 + k if k < own else 1 + VOCABULARY + class_of(w), c) for k, (w, c) in enumerate(zip(words, counts))}
 
     def symbol(self, word: bytes) -> tuple[int, int]:
         """Symbol and training count of a word; count -1 if it must be looked up."""
@@ -123,8 +126,8 @@ def symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 class Hmm:
-    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray, rest: np.ndarray):
-        self.start, self.step, self.emit, self.rest = start, step, emit, rest  # emit: symbols by states; rest: of runs inside a text
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
+        self.start, self.step, self.emit = start, step, emit  # emit: symbols by states
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probability of each sequence of symbols: forward, scaled at each token, many texts a token at a time."""
@@ -147,35 +150,111 @@ class Hmm:
         out[order] = total
         return out
 
-    def expect(self, runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts over runs of equal length (rows of symbols): first states of texts, of other runs, steps, emissions."""
-        count, length = runs.shape
+    def expect(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts over whole texts (arrays of symbols, none empty): first states, steps, emissions by symbol.
+
+        A text is cut into runs.  The product of a run's matrices carries the
+        forward probabilities over it from its beginning to its end, and the
+        backward ones the other way, so one pass over the runs of a text gives
+        both at every cut; then all runs are worked out side by side.
+        """
         k = len(self.start)
-        step, back = self.step.astype(np.float32), self.step.T.astype(np.float32)
-        b = self.emit.astype(np.float32)[runs.T]  # position, run, state
+        count = np.array([-(-len(x) // RUN) for x in texts])
+        last = np.cumsum(count) - 1
+        head = last - count + 1
+        place = np.zeros(int(count.sum()), dtype=np.int64)  # of each run in its text
+        place[head[1:]] = -count[:-1]
+        place = np.cumsum(place + 1) - 1
+        length = np.full(len(place), RUN)
+        length[last] = [len(x) - (c - 1) * RUN for x, c in zip(texts, count)]
+        symbols = np.zeros((len(place), RUN), dtype=np.int64)
+        symbols[np.arange(RUN) < length[:, None]] = np.concatenate(texts)
+
+        start, step, emit = (x.astype(np.float32) for x in (self.start, self.step, self.emit))
+        before, after = np.empty((len(place), k), np.float32), np.ones((len(place), k), np.float32)
+        before[head] = start
+        several = np.repeat(count > 1, count)
+        if several.any():
+            matrix = np.empty((len(place), k, k), np.float32)
+            for at in _slices(np.flatnonzero(several), length):
+                matrix[at] = self._products(symbols[at], length[at], place[at] == 0, step, emit)
+            many = np.flatnonzero(count > 1)
+            for j in range(1, int(count.max())):
+                many = many[count[many] > j]
+                to = head[many] + j
+                end = np.einsum("ns,nst->nt", before[to - 1], matrix[to - 1]) if j == 1 else np.einsum("ns,nst->nt", ends, matrix[to - 1])
+                ends = end / end.sum(axis=1, keepdims=True)
+                before[to] = ends  # the forward probabilities at the end of the run before
+                if j + 1 < count.max():
+                    ends = ends[count[many] > j + 1]
+            many = np.flatnonzero(count > 1)
+            for j in range(1, int(count.max())):
+                many = many[count[many] > j]
+                at = last[many] - j
+                back = np.einsum("nst,nt->ns", matrix[at + 1], after[at + 1])
+                after[at] = back / back.sum(axis=1, keepdims=True)
+        first, steps = np.zeros(k), np.zeros((k, k))
+        emissions = np.zeros((SYMBOLS, k))
+        for at in _slices(np.arange(len(place)), length):
+            f, x, e = self._within(symbols[at], length[at], place[at] == 0, before[at], after[at], step, emit)
+            first += f
+            steps += x
+            emissions += e
+        return first, steps, emissions
+
+    def _products(self, symbols: np.ndarray, length: np.ndarray, heads: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
+        """For each run (rows sorted by length, longest first), the product of its steps and emissions up to a factor; heads begin without a step."""
+        k = len(step)
+        b = emit[symbols.T]
+        b /= b.max(axis=2, keepdims=True)
+        product = np.where(heads[:, None, None], np.eye(k, dtype=np.float32), step) * b[0][:, None, :]
+        for t in range(1, int(length[0])):
+            n = int(np.searchsorted(-length, -t, side="left"))  # runs longer than t
+            m = (product[:n].reshape(-1, k) @ step).reshape(n, k, k) * b[t, :n, None, :]
+            product[:n] = m / m.max(axis=(1, 2), keepdims=True) if t % 4 == 0 else m
+        return product / product.max(axis=(1, 2), keepdims=True)
+
+    def _within(self, symbols: np.ndarray, length: np.ndarray, heads: np.ndarray, before: np.ndarray, after: np.ndarray, step: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of runs (rows sorted by length, longest first), given the probabilities before and after each."""
+        k, size = len(step), int(length[0])
+        alive = np.searchsorted(-length, -np.arange(size + 1), side="left")
+        b = emit[symbols.T[:size]]  # position, run, state
         alpha = np.empty_like(b)
-        a = np.where(first[:, None], self.start, self.rest).astype(np.float32) * b[0]
-        for t in range(length):
-            if t:
-                a = (alpha[t - 1] @ step) * b[t]
-            a = a / a.sum(axis=1, keepdims=True)
-            alpha[t] = a
-        beta = np.ones((count, k), dtype=np.float32)
+        a = np.where(heads[:, None], before, before @ step) * b[0]
+        alpha[0] = a / a.sum(axis=1, keepdims=True)
+        for t in range(1, size):
+            n = alive[t]
+            a = (alpha[t - 1, :n] @ step) * b[t, :n]
+            alpha[t, :n] = a / a.sum(axis=1, keepdims=True)
         steps = np.zeros((k, k))
+        beta = after.copy()
         gamma = alpha  # overwritten from the end
-        for t in range(length - 1, -1, -1):
-            if t < length - 1:
-                ahead = b[t + 1] * beta
-                beta = ahead @ back
-                norm = 1.0 / (alpha[t] * beta).sum(axis=1, keepdims=True)
-                steps += self.step * ((alpha[t] * norm).T @ ahead)
-                beta = beta / beta.sum(axis=1, keepdims=True)
-            g = alpha[t] * beta
-            gamma[t] = g / g.sum(axis=1, keepdims=True)
-        flat = runs.T.reshape(-1)
-        weight = gamma.reshape(-1, k)
+        for t in range(size - 1, -1, -1):
+            n, m = alive[t], alive[t + 1]
+            if m:  # runs that go on; the others have what comes after them in beta
+                ahead = b[t + 1, :m] * beta[:m]
+                back = ahead @ step.T
+                norm = 1.0 / (alpha[t, :m] * back).sum(axis=1, keepdims=True)
+                steps += step * ((alpha[t, :m] * norm).T @ ahead)
+                beta[:m] = back / back.sum(axis=1, keepdims=True)
+            g = alpha[t, :n] * beta[:n]
+            gamma[t, :n] = g / g.sum(axis=1, keepdims=True)
+        rest = ~heads
+        if rest.any():  # the step into a run from the one before
+            ahead = b[0][rest] * beta[rest]
+            norm = 1.0 / (before[rest] * (ahead @ step.T)).sum(axis=1, keepdims=True)
+            steps += step * ((before[rest] * norm).T @ ahead)
+        inside = np.arange(size)[:, None] < length
+        flat, weight = symbols.T[:size][inside], gamma[inside]
         emissions = np.stack([np.bincount(flat, weights=weight[:, s], minlength=SYMBOLS) for s in range(k)], axis=1)
-        return gamma[0][first].sum(axis=0), gamma[0][~first].sum(axis=0), steps, emissions
+        return gamma[0][heads].sum(axis=0, dtype=np.float64), steps, emissions
+
+
+def _slices(runs: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs, some thousands at a time, each time the longest first."""
+    for k in range(0, len(runs), SLICE):
+        at = runs[k : k + SLICE]
+        yield at[np.argsort(-length[at], kind="stable")]
 
 
 def _initial(p: np.ndarray) -> Hmm:
@@ -185,47 +264,40 @@ def _initial(p: np.ndarray) -> Hmm:
     step = np.full((STATES, STATES), 0.1 / (STATES - 1))
     np.fill_diagonal(step, 0.9)
     even = np.full(STATES, 1 / STATES)
-    return Hmm(even, step, emit / emit.sum(axis=0), even)
+    return Hmm(even, step, emit / emit.sum(axis=0))
 
 
 def _expectations(table: DataFrame, model: Hmm) -> np.ndarray:
-    """Counts summed over all partitions: rows 0.. are symbols, then steps, then the two kinds of first states."""
+    """Counts summed over all partitions: rows 0.. are symbols, then steps, then first states."""
     sent = table.sparkSession.sparkContext.broadcast(model)
     names = ["row", *(f"s{k}" for k in range(STATES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SYMBOLS + STATES + 2, STATES))
+        total = np.zeros((SYMBOLS + STATES + 1, STATES))
+        held: list[np.ndarray] = []
+        size = 0
 
-        def add(runs: np.ndarray, first: np.ndarray) -> None:
-            start, rest, steps, emissions = sent.value.expect(runs, first)
+        def add() -> None:
+            first, steps, emissions = sent.value.expect(held)
             total[:SYMBOLS] += emissions
             total[SYMBOLS : SYMBOLS + STATES] += steps
-            total[-2] += start
-            total[-1] += rest
+            total[-1] += first
+            held.clear()
 
-        whole: list[np.ndarray] = []
-        heads: list[bool] = []
         for batch in batches:
-            short: dict[int, list[tuple[np.ndarray, bool]]] = {}
             for x in batch.column(0).to_pylist():
-                seq = np.frombuffer(x, dtype="<u2")
-                cut = len(seq) // RUN
-                whole += list(seq[: cut * RUN].reshape(cut, RUN))
-                heads += [k == 0 for k in range(cut)]
-                if len(seq) % RUN:
-                    short.setdefault(len(seq) % RUN, []).append((seq[cut * RUN :], not cut))
-                while len(whole) >= 4096:
-                    add(np.stack(whole[:4096]), np.array(heads[:4096]))
-                    whole, heads = whole[4096:], heads[4096:]
-            for group in short.values():
-                add(np.stack([s for s, _ in group]), np.array([h for _, h in group]))
-        if whole:
-            add(np.stack(whole), np.array(heads))
+                held.append(np.frombuffer(x, dtype="<u2"))
+                size += len(held[-1])
+                if size >= SLICE * RUN:
+                    add()
+                    size = 0
+        if held:
+            add()
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, k]) for k in range(STATES))], names=names)
 
     sums = table.select("symbols").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names[1:])).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toPandas()
-    total = np.zeros((SYMBOLS + STATES + 2, STATES))
+    total = np.zeros((SYMBOLS + STATES + 1, STATES))
     total[sums["row"].to_numpy()] = sums[names[1:]].to_numpy()
     return total
 
@@ -236,8 +308,8 @@ def fit(table: DataFrame, p: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     for _ in range(rounds):
         total = _expectations(table, model)
         emissions, steps = total[:SYMBOLS] + SMOOTHING * p[:, None], total[SYMBOLS : SYMBOLS + STATES] + 1.0
-        start, rest = total[-2] + 1.0, total[-1] + 1.0
-        model = Hmm(start / start.sum(), steps / steps.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0), rest / rest.sum())
+        start = total[-1] + 1.0
+        model = Hmm(start / start.sum(), steps / steps.sum(axis=1, keepdims=True), emissions / emissions.sum(axis=0))
     return model
 
 
@@ -260,7 +332,8 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     n_train, v = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
     top = commonest(counts, "c", COUNTED).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words = [w.encode() for w in top["word"]]
-    vocabulary = Vocabulary(words, [int(c) for c in top["c"]])
+    own = int((top["c"].to_numpy(dtype=np.int64) >= max(1, n_train) / VOCABULARY).sum())
+    vocabulary = Vocabulary(words, [int(c) for c in top["c"]], own)
     table = materialize(symbols(slim, vocabulary), "lm-symbols")
 
     # Size of each class: what its words weigh, and one for a word never seen.
@@ -268,7 +341,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([class_of(w) for w in raw(batch.column(0))], pa.int32()), batch.column(1)], names=["class", "c"])
 
-    common = docs.sparkSession.sparkContext.broadcast(frozenset(words[:VOCABULARY]))
+    common = docs.sparkSession.sparkContext.broadcast(frozenset(words[:own]))
 
     def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +353,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     for r in counts.select("word", "c").mapInArrow(uncommon, "class int, c long").groupBy("class").agg(F.sum(F.col("c") + 1).alias("w"), F.sum("c").alias("c")).collect():
         size[r["class"]] += r["w"]
         seen[r["class"]] += r["c"]
-    p = np.concatenate([[ends + 1.0], top["c"].to_numpy(dtype=float)[:VOCABULARY] + 1.0, np.zeros(max(0, VOCABULARY - len(top))), seen + 1.0])
+    p = np.concatenate([[ends + 1.0], top["c"].to_numpy(dtype=float)[:own] + 1.0, np.zeros(VOCABULARY - own), seen + 1.0])
     unused = p == 0
     p /= p.sum()
     model = fit(table.where(~F.col("held_out")), p, rounds)

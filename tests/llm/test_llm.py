@@ -298,7 +298,7 @@ def test_chat_folds_random_logs_as_written(spark):
 def test_hmm_is_a_distribution_and_exact():
     rng = np.random.default_rng(0)
     emit = rng.random((3, lm.STATES))
-    hmm = lm.Hmm(np.full(lm.STATES, 1 / lm.STATES), rng.dirichlet(np.ones(lm.STATES), lm.STATES), emit / emit.sum(axis=0), np.full(lm.STATES, 1 / lm.STATES))
+    hmm = lm.Hmm(np.full(lm.STATES, 1 / lm.STATES), rng.dirichlet(np.ones(lm.STATES), lm.STATES), emit / emit.sum(axis=0))
     every = [np.array([a, b, c]) for a in range(3) for b in range(3) for c in range(3)]
     assert abs((10 ** hmm.log10(every)).sum() - 1) < 1e-9
     mixed = [np.array([0]), np.array([1, 2, 0, 1]), np.array([2, 2])]
@@ -309,6 +309,32 @@ def test_hmm_is_a_distribution_and_exact():
         assert abs(np.log10(a.sum()) - value) < 1e-9
 
 
+@pytest.mark.parametrize("run,portion", [(1, 2), (3, 4), (128, 4096)])
+def test_baum_welch_counts_against_enumeration(monkeypatch, run, portion):
+    """Expected counts of whole texts, whatever the runs in which they are worked out."""
+    import itertools
+
+    monkeypatch.setattr(lm, "RUN", run)
+    monkeypatch.setattr(lm, "SLICE", portion)
+    monkeypatch.setattr(lm, "SYMBOLS", 4)
+    rng = np.random.default_rng(1)
+    emit = rng.random((4, 3))
+    hmm = lm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), emit / emit.sum(axis=0))
+    texts = [rng.integers(0, 4, n) for n in (7, 1, 3, 6, 2, 7, 4)]
+    first, steps, emissions = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
+    for text in texts:
+        paths = list(itertools.product(range(3), repeat=len(text)))
+        weight = np.array([hmm.start[p[0]] * np.prod([hmm.step[a, b] for a, b in zip(p, p[1:])]) * np.prod([hmm.emit[x, a] for x, a in zip(text, p)]) for p in paths])
+        for p, w in zip(paths, weight / weight.sum()):
+            first[p[0]] += w
+            for a, b in zip(p, p[1:]):
+                steps[a, b] += w
+            for x, a in zip(text, p):
+                emissions[x, a] += w
+    for got, want in zip(hmm.expect(texts), (first, steps, emissions)):
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_lm_scores(spark, odd):
     df, rows = odd
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -520,6 +546,44 @@ def test_langid_learns_every_language(spark):
     assert [x.tolist() for x in langid.viterbi([np.eye(300, dtype=np.float32)[[299, 299]]])] == [[299, 299]]
 
 
+def test_langid_scripts():
+    names = ["", *langid._BLOCKS]
+    said = "Hello wörld “Ελλάδα” мир हिन्दी বাংলা தமிழ் ไทย ລາວ ქართული việt 한국어 漢字 かな カナ ።አማርኛ— x1y"
+    _, begin, script, chars = langid.words_of(said.encode())
+    assert [names[k] for k in script] == ["Latin", "Latin", "Greek", "Cyrillic", "Devanagari", "Bengali", "Tamil", "Thai", "Lao", "Georgian", "Latin", "Hangul", "Han", "Hiragana", "Katakana", "Ethiopic", "Latin", "Latin"]
+    assert chars[:4].tolist() == [5, 5, 6, 3] and len(begin) == len(script)
+
+
+def test_langid_against_brute_force(spark):
+    """Counts of n-grams and scripts, word scores and the vote, told again without numpy's tricks."""
+    rng = np.random.default_rng(13)
+    letters = {"aa": "abcde é", "bb": "defgh ü", "gg": "αβγδε ζ"}
+    rows = [(k, "".join(rng.choice(list(letters[lang]), 60)), lang) for k in range(30) for lang in letters] + [(91, None, "aa"), (92, "", "bb"), (93, "no lang", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, "text", "lang")
+    assert model.names == ["aa", "bb", "gg"]
+    bucket = lambda g: (int.from_bytes(g, "little") * 2654435761 % (1 << 32)) >> 17
+    counts = {lang: Counter() for lang in letters}
+    scripts = {lang: set() for lang in letters}
+
+    def grams(text):
+        b = b" " + text.lower().encode() + b"   "
+        begins = [m.start() - 1 for m in re.finditer(rb"[^ ]+", b)] + [len(b) - 3]
+        return [[bucket(b[i : i + 4]) for i in range(m, n)] for m, n in zip(begins, begins[1:])]
+
+    for _, text, lang in rows:
+        if text and lang:
+            for g in grams(text):
+                counts[lang].update(g)
+            scripts[lang] |= {"G" if any("α" <= c <= "ω" for c in w) else "L" for w in text.split()}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    for text in ("abc deé dgh", "αβγ abc", "fgh üge dd αβ"):
+        scores, _ = model.word_scores(text.encode())
+        for w, g, got in zip(text.split(), grams(text), scores):
+            want = [sum(np.log((counts[x][k] + langid.SMOOTHING) / (total[x] + langid.SMOOTHING * langid.BUCKETS)) for k in g) if ("G" if w[0] >= "α" else "L") in scripts[x] else -np.inf for x in model.names]
+            assert np.allclose(got, np.array(want) - max(want), atol=1e-3)
+
+
 def test_viterbi_against_enumeration():
     import itertools
 
