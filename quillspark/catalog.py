@@ -450,12 +450,12 @@ QUERIES["outline_polygon"] = outline_polygon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_forms  # noqa: F401  (adds its queries)
+    from . import catalog_documents, catalog_forms  # noqa: F401  (add their queries)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_forms  # noqa: F401
+    from . import catalog_documents, catalog_forms  # noqa: F401
 
     return dict(SQL)

@@ -132,6 +132,10 @@ def to_lz4_block(data: bytes) -> bytes:
     return b"\xf0" + b"\xff" * whole + bytes([rest]) + data
 
 
+#: Documents inside one another at most.
+DEPTH = 200
+
+
 def bson(data: bytes) -> dict:
     """A BSON document; binary values are hexadecimal text, so the result is JSON."""
 
@@ -141,7 +145,9 @@ def bson(data: bytes) -> dict:
             raise Malformed("name")
         return data[at:end].decode(), end + 1
 
-    def document(at: int, is_list: bool):
+    def document(at: int, is_list: bool, depth: int = 0):
+        if depth > DEPTH:
+            raise Malformed("too deep")
         end = at + struct.unpack_from("<i", data, at)[0]
         if not at + 5 <= end <= len(data):
             raise Malformed("document")
@@ -156,7 +162,7 @@ def bson(data: bytes) -> dict:
                 size = struct.unpack_from("<i", data, at)[0]
                 value, at = data[at + 4 : at + 3 + size].decode(), at + 4 + size
             elif kind in (0x03, 0x04):
-                value, at = document(at, kind == 0x04)
+                value, at = document(at, kind == 0x04, depth + 1)
             elif kind == 0x05:
                 size = struct.unpack_from("<i", data, at)[0]
                 value, at = data[at + 5 : at + 5 + size].hex(), at + 5 + size
@@ -281,12 +287,13 @@ def members(df: DataFrame, column: str = "content", path: str = "path") -> DataF
     """(path, member, size, head, kind) of the members of zip files; other files have none."""
     import io
     import zipfile
+    import zlib
 
     def names(data: bytes) -> list[dict]:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 return [{"member": i.filename, "size": i.file_size, "head": z.open(i).read(16).hex()} for i in z.infolist() if not i.is_dir()]
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
             raise Malformed(str(e)) from e
 
     found = decoded(df.select(path, column), column, names, "array<struct<member:string,size:bigint,head:string>>", "m")
