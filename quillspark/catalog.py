@@ -173,7 +173,10 @@ def affine_transform(spark, d):
 @query(f"WITH {P} SELECT family, count(*) AS n, round(min(v), 6) AS w_min, round(median(v), 6) AS w_median, round(max(v), 6) AS w_max, round(min(p), 6) AS p_min, round(max(p), 6) AS p_max FROM points GROUP BY family")
 def channel_summary(spark, d):
     """Width and pressure by family."""
-    return points(spark, d).groupBy("family").agg(F.count(F.lit(1)).alias("n"), r6(F.min("v"), "w_min"), r6(F.median("v"), "w_median"), r6(F.max("v"), "w_max"), r6(F.min("p"), "p_min"), r6(F.max("p"), "p_max"))
+    s = points(spark, d)
+    ends = s.groupBy("family").agg(F.count(F.lit(1)).alias("n"), r6(F.min("v"), "w_min"), r6(F.max("v"), "w_max"), r6(F.min("p"), "p_min"), r6(F.max("p"), "p_max"))
+    middle = analytics.medians(s, "family", "v").select("family", r6(F.col("median"), "w_median"))
+    return ends.join(middle, "family").select("family", "n", "w_min", "w_median", "w_max", "p_min", "p_max")
 
 
 @query(f"WITH {P}, c AS (SELECT stroke, min_by(family, i) AS family, corr(v, p) AS c FROM points GROUP BY stroke HAVING count(*) > 4 AND stddev_pop(v) > 1e-9 AND stddev_pop(p) > 1e-9) SELECT family, round(median(c), 6) AS corr FROM c GROUP BY family")
@@ -192,7 +195,8 @@ def iqr_by_index(spark, d):
 @query(f"WITH {P} SELECT round(round_even(p * 5, 0) / 5, 6) AS bin, round(median(v / 0.25), 6) AS w FROM points GROUP BY 1")
 def binned_median(spark, d):
     """Median width by pressure, in fifths."""
-    return points(spark, d).groupBy(r6(F.bround(F.col("p") * 5) / 5, "bin")).agg(r6(F.median(F.col("v") / 0.25), "w"))
+    binned = points(spark, d).select(r6(F.bround(F.col("p") * 5) / 5, "bin"), (F.col("v") / 0.25).alias("w"))
+    return analytics.medians(binned, "bin", "w").select("bin", r6(F.col("median"), "w"))
 
 
 @query(f"WITH {P} SELECT family, round(regr_slope(v, p), 6) AS slope, round(regr_intercept(v, p), 6) AS intercept, round(regr_r2(v, p), 6) AS r2 FROM points GROUP BY family")
@@ -206,7 +210,7 @@ def nearest_color(spark, d):
     """Nearest colour of a palette; the first wins."""
     k = F.col("p_partkey")
     c = table(spark, d, "part").select(k.alias("id"), (k * 37 % 256).alias("r"), (k * 91 % 256).alias("g"), (k * 53 % 256).alias("b"))
-    palette = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for t, r, g, b in ((0, 0, 0, 0), (1, 255, 0, 0), (2, 0, 255, 0), (3, 0, 0, 255), (4, 255, 255, 0), (5, 128, 128, 128))])).alias("x")).select("x.*")
+    palette = [(0, 0, 0, 0), (1, 255, 0, 0), (2, 0, 255, 0), (3, 0, 0, 255), (4, 255, 255, 0), (5, 128, 128, 128)]
     return analytics.nearest(c, palette, ["r", "g", "b"]).select("id", "target", r6(F.col("d2"), "d2"))
 
 
@@ -288,7 +292,7 @@ def library_paths(spark, d):
 def ui_search_sort(spark, d):
     """Search by name and kind within a source, newest first."""
     found = notes(spark, d).where(F.lower("name").contains("7") & (F.col("kind") == "notebook") & (F.col("source_id") == "remarkable"))
-    return found.select("key", "name", F.row_number().over(Window.orderBy(F.col("mtime").desc(), "key")).cast("long").alias("nth"))
+    return analytics.numbered(found, "mtime", F.col("key")).select("key", "name", "nth")
 
 
 @query(f"WITH {N} SELECT split_part(folder, '/', 2) AS child, count(*) AS docs FROM notes WHERE starts_with(folder, 'ASIA/') GROUP BY 1")

@@ -36,7 +36,8 @@ def test_delta_coding_round_trip(spark):
 
 def test_folder_paths_end_on_cycles(spark):
     nodes = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B"), ("c", "trash", "C"), ("d", "c", "D"), ("e", "gone", "E")], "id string, parent string, name string")
-    got = {r.id: (r.path, r.trashed) for r in analytics.folder_paths(nodes, depth=5).collect()}
+    got = {r.id: (r.path, r.trashed) for r in analytics.folder_paths(nodes, doublings=2).collect()}
+    assert got["a"] == ("A/B/A/B/A", False)
     assert got["e"] == ("E", False) and got["d"] == ("C/D", True) and got["c"] == ("C", True)
 
 
@@ -49,3 +50,32 @@ def test_decision_order(spark):
     assert [got[k] for k in range(len(cases))] == [r for _, r in cases]
     allow = {r.n: r.reason for r in rules.decide(df, "allowlist", notebooks=False).collect()}
     assert allow[2] is None and allow[6] == "allowlist"
+
+
+def test_ranks_against_sorting(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *(k / 4 for k in range(40))]), k) for k in range(900)] + [("one", 3.0, 900)] + [("c", float(k), 1000 + k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    got = {r["g"]: r for r in analytics.quartiles_by_index(df, "g", "v").collect()}
+    middle = {r["g"]: r["median"] for r in analytics.medians(df, "g", "v").collect()}
+    for g in {r[0] for r in rows}:
+        s = sorted(v for x, v, _ in rows if x == g and v is not None)
+        n = len(s)
+        assert (got[g]["n"], got[g]["q1"], got[g]["q3"]) == (n, s[n // 4], s[3 * n // 4])
+        assert got[g]["median"] == middle[g] == (s[(n - 1) // 2] + s[n // 2]) / 2
+    order = [r["id"] for r in analytics.numbered(df, "v", F.col("id")).orderBy("nth").collect()]
+    assert order == [r[2] for r in sorted(rows, key=lambda r: (-r[1] if r[1] is not None else float("inf"), r[2]))]
+    assert analytics.numbered(df.limit(0), "v", F.col("id")).count() == 0
+
+
+def test_nearest_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, 0.0), (9.0, 9.0), (None, 1.0)], "x double, y double")
+    got = sorted((r["target"], r["d2"]) for r in analytics.nearest(df, [("near", 0, 0), ("tie", 2, 0), ("far", 9, 9)], ["x", "y"]).where("x is not null").collect())
+    assert got == [("far", 0.0), ("near", 1.0), ("near", 1.0)]
+
+
+def test_entropy(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, "aaaa"), (3, ""), (4, None)], "k long, t string")
+    assert {r["k"]: (r["entropy"], r["size"]) for r in analytics.text_entropy(df, "k", "t").collect()} == {1: (1.0, 4), 2: (0.0, 4)}
