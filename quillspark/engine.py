@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ink
 from .plans import ink_xml
 from .shipping import ship_package
-from .sources import xml_ink
+from .sources import ink_binary, ink_json, xml_ink
 
 
 class NotSupported(ValueError):
@@ -24,7 +26,18 @@ class Sink:
     validated: bool = True
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"xopp": xml_ink.read_xopp, "inkml": xml_ink.read_inkml, "svg": xml_ink.read_svg}
+#: Readers of whole documents, and of flat strokes.
+DOCUMENTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"json": ink_json.read_ink_json} | {n: ink_binary.reader(n) for n in ink_binary.DECODERS}
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"xopp": xml_ink.read_xopp, "inkml": xml_ink.read_inkml, "svg": xml_ink.read_svg, "tldraw": xml_ink.read_tldraw}
+
+
+def _flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, path: ink.flat_strokes(DOCUMENTS[name](spark, path).where("broken is null"))
+
+
+READERS |= {name: _flat(name) for name in DOCUMENTS}
+#: Formats by the extensions of their files, where the two differ.
+EXTENSIONS = {"tldr": "tldraw", "sba": "saber", "sbn": "saber", "sbn2": "saber", "pkdrawing": "pencilkit"}
 #: Size of pages that do not tell their own, in points (US letter).
 PAGE = (612.0, 792.0)
 SINKS: dict[str, Sink] = {
@@ -64,20 +77,32 @@ def select_pages(strokes: DataFrame, pages: list[int]) -> DataFrame:
 
 def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Strokes of the files of one format below ``path``; the format follows from the name unless given."""
-    fmt = fmt or path.rsplit(".", 1)[-1].lower()
+    ending = path.rsplit(".", 1)[-1].lower()
+    fmt = fmt or EXTENSIONS.get(ending, ending)
     if fmt not in READERS:
         raise NotSupported(f"no reader for {fmt!r}")
     return READERS[fmt](spark, path)
 
 
-def convert(spark: SparkSession, source: str, target: str, to: str, fmt: str | None = None, pages: str | None = None, experimental: bool = False) -> int:
+def check_target(source: str, target: str, protected: tuple[str, ...] = ()) -> None:
+    """An output folder must neither be nor hold the source or a protected folder, and must not lie in a protected one."""
+    plain = lambda p: re.sub(r"^file:/+", "/", p).rstrip("/") + "/"
+    out = plain(target)
+    for other in (source, *protected):
+        if plain(other).startswith(out) or other in protected and out.startswith(plain(other)):
+            raise NotSupported(f"{target!r} would overwrite {other!r}")
+
+
+def convert(spark: SparkSession, source: str, target: str, to: str, fmt: str | None = None, pages: str | None = None, experimental: bool = False, protected: tuple[str, ...] = ()) -> int:
     """Convert every document below ``source`` and write one text file each below ``target``; returns how many.
 
     Executors write the files themselves, so no document passes through the
     driver.  A page of the selection that a document lacks is left out of it;
     one that no document has is an error, as is a sink that is not validated
-    unless ``experimental`` is set.
+    unless ``experimental`` is set, and a target that would overwrite the source
+    or a ``protected`` folder.
     """
+    check_target(source, target, protected)
     if to not in SINKS:
         raise NotSupported(f"no writer for {to!r}")
     sink = SINKS[to]

@@ -92,3 +92,30 @@ def read_library(spark: SparkSession, root: str) -> DataFrame:
     m = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.metadata").json(root)
     ident = F.regexp_extract("_metadata.file_path", r"([^/]+)\.metadata$", 1)
     return m.where(F.col("broken").isNull() & ~F.coalesce("deleted", F.lit(False))).select(ident.alias("id"), F.col("visibleName").alias("name"), F.coalesce("parent", F.lit("")).alias("parent"), F.col("lastModified").cast("long").alias("modified"), F.col("type").alias("doc_type"))
+
+
+CONTENT = "fileType string, orientation string, cPages struct<pages:array<struct<id:string,deleted:variant,template:struct<value:string>>>>, pages array<string>, broken string"
+
+
+def library_documents(spark: SparkSession, root: str) -> DataFrame:
+    """(id, name, parent, modified, file_type, orientation, pages) of a library cache's documents, from ``*.metadata`` and ``*.content``.
+
+    ``pages`` lists (id, template) in order without deleted pages; older files
+    name their pages only.  A document whose content is missing or broken has
+    no pages and the defaults.
+    """
+    meta = read_library(spark, root).where("doc_type = 'DocumentType' or doc_type is null").drop("doc_type")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.content").load(root)
+    c = files.select(F.regexp_extract("path", r"([^/]+)\.content$", 1).alias("id"), F.from_json(F.decode("content", "utf-8"), CONTENT, {"columnNameOfCorruptRecord": "broken"}).alias("c")).where("c.broken is null")
+    page = lambda ident, template: F.struct(ident.alias("id"), F.coalesce(template, F.lit("")).alias("template"))
+    listed = F.transform(F.filter("c.cPages.pages", lambda p: p["deleted"].isNull()), lambda p: page(p["id"], p["template"]["value"]))
+    older = F.transform("c.pages", lambda p: page(p, F.lit("")))
+    none = F.array().cast("array<struct<id:string,template:string>>")
+    rows = c.select("id", F.col("c.fileType").alias("file_type"), F.col("c.orientation").alias("orientation"), F.coalesce(listed, older).alias("pages"))
+    return meta.join(rows, "id", "left").select("id", F.coalesce("name", "id").alias("name"), "parent", "modified", F.coalesce("file_type", F.lit("notebook")).alias("file_type"), F.coalesce("orientation", F.lit("portrait")).alias("orientation"), F.coalesce("pages", none).alias("pages"))
+
+
+def listed(docs: DataFrame, folders: DataFrame) -> DataFrame:
+    """Documents that are not in the trash with their folder, in the order of folder and name; ``folders`` is (id, path, trashed) of all nodes."""
+    at = folders.select("id", F.regexp_replace("path", "(^|/)[^/]*$", "").alias("folder"), "trashed")
+    return docs.join(at, "id").where("not trashed").drop("trashed").orderBy("folder", "name", "id")

@@ -70,3 +70,10 @@ def test_rules(spark, tmp_path):
     assert own.first().format == "svg" and folders.first().allowed
     (tmp_path / "rules.json").write_text("{")
     assert settings.load(path) == settings.Rules() and (tmp_path / "rules.json.broken").exists()
+
+
+def test_targets_that_are_refused():
+    engine.check_target("/notes/in", "/notes/out", ("/library",))
+    for target, protected in (("/notes/in", ()), ("/notes", ()), ("/library/x", ("/library",)), ("file:///", ()), ("/library", ("/library/deep",))):
+        with pytest.raises(engine.NotSupported):
+            engine.check_target("/notes/in", target, protected)

@@ -35,6 +35,22 @@ def test_library_cache(spark, tmp_path):
     assert [tuple(r) for r in formats.read_library(spark, str(tmp_path)).collect()] == [("u1", "A", "", 12, "DocumentType")]
 
 
+def test_library_documents(spark, tmp_path):
+    meta = lambda **k: json.dumps({"parent": "", "type": "DocumentType", "lastModified": "5"} | k)
+    for ident, name in (("u1", "B"), ("u2", "A"), ("u3", "C")):
+        (tmp_path / f"{ident}.metadata").write_text(meta(visibleName=name, parent="f1" if ident == "u1" else ""))
+    (tmp_path / "f1.metadata").write_text(meta(visibleName="Folder", type="CollectionType"))
+    pages = [{"id": "p1", "template": {"value": "P Dots S"}}, {"id": "p2", "deleted": {"value": 1}}, {"id": "p3"}]
+    (tmp_path / "u1.content").write_text(json.dumps({"fileType": "pdf", "orientation": "landscape", "cPages": {"pages": pages}}))
+    (tmp_path / "u2.content").write_text(json.dumps({"pages": ["q1", "q2"]}))
+    (tmp_path / "u3.content").write_text("{broken")
+    docs = formats.library_documents(spark, str(tmp_path))
+    got = {r.id: (r.name, r.file_type, r.orientation, [tuple(p) for p in r.pages]) for r in docs.collect()}
+    assert got == {"u1": ("B", "pdf", "landscape", [("p1", "P Dots S"), ("p3", "")]), "u2": ("A", "notebook", "portrait", [("q1", ""), ("q2", "")]), "u3": ("C", "notebook", "portrait", [])}
+    folders = spark.createDataFrame([("u1", "Folder/B", False), ("u2", "A", False), ("u3", "C", True), ("f1", "Folder", False)], "id string, path string, trashed boolean")
+    assert [(r.id, r.folder) for r in formats.listed(docs, folders).collect()] == [("u2", ""), ("u1", "Folder")]
+
+
 def test_outline_of_a_straight_stroke(spark):
     pts = spark.createDataFrame([(1, k, float(k * 10), 0.0, 2.0) for k in range(4)] + [(2, k, 1.0, 1.0, 2.0) for k in range(3)], "stroke int, i int, x double, y double, half double")
     rows = geometry.outlines(pts).orderBy("stroke", "seq").collect()
