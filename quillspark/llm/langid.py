@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import named
 from .words import raw, slices
 
 BUCKETS = 1 << 15
@@ -180,7 +181,7 @@ def train(docs: DataFrame, text: str, lang: str) -> Model:
                     c[BUCKETS:] += np.bincount(script, minlength=SCRIPTS)
         yield from flushed(counts)
 
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = docs.where(named(lang).isNotNull()).select(named(text).alias("text"), named(lang).alias("lang"))
     names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     sums = known.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(names), BUCKETS + SCRIPTS))
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id_col: str = "d
     labelled alike; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    slim = docs.select(named(id_col).alias("__id"), named(text).alias("__text"))
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

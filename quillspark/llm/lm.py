@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import commonest, materialize
+from .store import commonest, materialize, named
 from .words import raw, slices
 
 STATES = 8
@@ -324,7 +324,7 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     scored alike and, in training, counted each; if there is nothing to learn
     from, both scores follow from smoothing only.  Texts are scored whole.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    slim = docs.select(named(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), named(text).alias("text"))
     training = slim.where(~F.col("held_out"))
     counts = materialize(count_words(training), "lm-counts")
     ends = training.count()

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, named
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -77,10 +77,10 @@ def permuted(index: Column, rows: Column, columns: Column, *salt: Column, rounds
 
 def _layout(docs: DataFrame, text: str, id_col: str, source_col: str, payload: list[str], seed: int, block_words: int, stream_words: int) -> tuple[DataFrame, DataFrame]:
     """Documents laid out in streams (rank, base block, lo, size, ...) and one row per source with its slot plan."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("long")
     # Ids may be null or repeated, so texts help to spread rows over streams.
-    spread = F.xxhash64(F.col(id_col), F.col(text))
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), words.alias("__size"), spread.alias("__h"), *[F.col(f"`{c}`").alias(f"__p_{k}") for k, c in enumerate(payload)])
+    spread = F.xxhash64(named(id_col), named(text))
+    sized = docs.select(named(id_col).alias("__id"), named(source_col).alias("__source"), words.alias("__size"), spread.alias("__h"), *[F.col(f"`{c}`").alias(f"__p_{k}") for k, c in enumerate(payload)])
     if not payload:
         sized = materialize(sized, "mix-sizes")
     sizes = sized.groupBy("__source").agg(F.sum("__size").alias("source_size")).withColumnRenamed("__source", "source")

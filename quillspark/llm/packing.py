@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from .store import named
 from .words import slices
 
 SEQUENCE = 2048
@@ -125,9 +126,9 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     count, so a task that runs again gives the same rows.
     """
     path = vocabulary or default_vocabulary()
-    slim = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("__text"))
+    slim = docs.select(named(id_col).alias("id"), named(text).alias("__text"))
     id_type = slim.schema[0].dataType
-    schema = StructType([StructField(id_col, id_type), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType()), StructField("doc_tokens", LongType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    schema = StructType([StructField("id", id_type), StructField("start", LongType()), StructField("length", LongType()), StructField("ids", BinaryType()), StructField("doc_tokens", LongType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -167,7 +168,7 @@ def pack_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     held = 0
         yield from flush()
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def packed_pieces(docs: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, named
 from .words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -147,7 +147,7 @@ def count_patterns(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
                     yield report()
         yield report()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return docs.select(named(text).alias("__text")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:
@@ -156,7 +156,7 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """(rid, id, counts, base, candidates) for every row."""
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    slim = docs.select(named(id_col).alias("__id"), named(text).alias("__text"))
     kind = slim.schema["__id"].dataType.simpleString()
     counts = [f"n_{k}" for k in KINDS]
     item = pa.struct([("patterns", pa.list_(pa.string())), ("instance", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("known", pa.bool_())])

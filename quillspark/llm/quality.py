@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from .store import free_prefix, named
 from .words import WordHashes, raw, slices, windows
 
 _SYMBOLS = b"#*$%&|<>"
@@ -61,6 +62,7 @@ def measure(text: bytes, memo: WordHashes) -> tuple:
         else:
             seen.add(line)
     hashes = memo.of(words)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
     repeat_words, dup_share, top_share, failed = 0, 0.0, 0.0, None
     line_share = dup_chars / chars if chars else 0.0
     if symbols > SYMBOL_RATIO * n:
@@ -80,7 +82,12 @@ def measure(text: bytes, memo: WordHashes) -> tuple:
         if width == 3:
             repeat_words = int(inside.sum())
         if width in TOP_NGRAM_SHARE:
-            share = int(sizes[_covered(inverse == counts.argmax(), width, n)].sum()) / chars
+            # Of n-grams that are equally common, the one that covers most.
+            order = np.argsort(inverse, kind="stable")
+            gram = inverse[order]
+            following = np.append(np.where(gram[1:] == gram[:-1], order[1:], n), n)
+            covered = upto[np.minimum(order + width, following)] - upto[order]
+            share = int(np.bincount(gram, weights=covered)[counts == counts.max()].max()) / chars
             top_share = max(top_share, share)
             if share > TOP_NGRAM_SHARE[width]:
                 failed = failed or f"top_{width}gram"
@@ -102,26 +109,30 @@ def with_quality(docs: DataFrame, text: str = "text", prefix: str = _P) -> DataF
     are judged alike; texts of any length are read whole.  The operator maps
     rows one by one, without a shuffle.
     """
-    schema = StructType([*docs.schema.fields, *(StructField(prefix + n, t) for n, t in _OUT)])
-    added = pa.schema([(prefix + n, {LongType: pa.int64(), BooleanType: pa.bool_(), DoubleType: pa.float64(), StringType: pa.string()}[type(t)]) for n, t in _OUT])
+    # Positions stand for names meanwhile, which may have dots.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = f"c{docs.columns.index(text)}"
+    schema = StructType([*plain.schema.fields, *(StructField(n, t) for n, t in _OUT)])
+    added = pa.schema([(n, {LongType: pa.int64(), BooleanType: pa.bool_(), DoubleType: pa.float64(), StringType: pa.string()}[type(t)]) for n, t in _OUT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            for part in slices(batch, text):
-                found = list(zip(*(measure(x, memo) for x in raw(part.column(text)))))
+            for part in slices(batch, at):
+                found = list(zip(*(measure(x, memo) for x in raw(part.column(at)))))
                 columns = [pa.array(values, field.type) for values, field in zip(found, added)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *added.names])
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *(prefix + n for n, _ in _OUT))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document with its measures and the verdict ``kept``; see `with_quality`."""
-    slim = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("__text"))
-    return with_quality(slim, "__text", "__q_").select(id_col, *[F.col("__q_" + n).alias(n) for n, _ in _OUT])
+    slim = docs.select(named(id_col).alias("__id"), named(text).alias("__text"))
+    return with_quality(slim, "__text", "__q_").select(F.col("__id").alias(id_col), *[F.col("__q_" + n).alias(n) for n, _ in _OUT])
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return with_quality(docs, text).where(F.col(_P + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p = free_prefix(docs.columns, _P)
+    return with_quality(docs, text, p).where(F.col(p + "kept")).select(*[named(c) for c in docs.columns])

@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet below the folder that the session names in
 ``spark.checkpoint.dir``.  A folder of our own is used only where that
-setting is absent (tests, a laptop).
+setting is absent and driver and executors are one process (tests, a laptop);
+a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
@@ -18,11 +19,25 @@ from ..shipping import ship_package
 _OWN: dict[str, str] = {}
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, made longer until no column begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a private one where none is named."""
+    """The cluster's shared folder, or a private one where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quill-")

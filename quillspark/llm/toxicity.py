@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, named
 from .words import slices
 
 #: Labelled rows that a model is fitted on at most, the first by a hash of their id (1 MB when sent).
@@ -372,9 +372,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     are worth is measured on each half of the rows with the lexicon of the
     other half, so no term vouches for itself.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("toxic")).dropDuplicates(["__id"])
+    chosen = labels.where(named(label).isin(0, 1) & named(id_col).isNotNull()).select(named(id_col).alias("__id"), named(label).cast("int").alias("toxic")).dropDuplicates(["__id"])
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("text"))
+    slim = docs.select(named(id_col).alias("__id"), named(text).alias("text"))
     fold = F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     rows = materialize(slim.join(F.broadcast(chosen), "__id").select("text", "toxic", fold.alias("fold")), "tox-rows")
     counts = materialize(_count(rows), "tox-forms")
@@ -408,7 +408,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    slim = docs.select(named(id_col).alias("__id"), named(text).alias("__text"))
     item = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("edits", pa.int64()), ("quoted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

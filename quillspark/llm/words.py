@@ -54,6 +54,7 @@ _BASE = 0x9E3779B97F4A7C15
 _WORD_BYTE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 20
+_LONG = 128
 
 
 @lru_cache(maxsize=1)
@@ -76,7 +77,11 @@ def _chunk_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _powers(size)
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # Only long words of a certain making are known to collide under a polynomial modulo a power of two.
+    for k in np.flatnonzero(ends - starts > _LONG):
+        hashes[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes())
+    return hashes, starts
 
 
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
