@@ -11,15 +11,21 @@ group.  g grows with the size of the sets, which bounds the combinations of
 very long documents.
 
 Equal sets are one class.  A signature's classes are first compared with one
-of them only (linear, however many share it).  What this links is contracted,
-and just the pairs of a signature's classes that are still in different
-components are compared then, so that no link which decides a component is
-lost and no group is expanded into all its pairs.
+of them only, its pivot (linear, however many share it).  What this links is
+contracted.  Small groups whose classes are still in different components are
+compared pair by pair.  In large ones the combinations are extended.  The
+tokens that most sets of a pivot have are its center.  Sets near the center
+are alike for sure and are linked through the nearest one; two other sets that
+are alike differ from the center in the same tokens for a good part, so the
+tokens in which a set differs from it are indexed in turn, singly where few
+sets of the pivot have them, in combinations of up to four where many do.  No
+link that decides a component is lost and no group is expanded into all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import commonest, materialize
+from .store import commonest, free_prefix, materialize, named
 from .words import mixed, raw, shingle_sets, slices
 
 #: A token in more documents than this, as far as tasks have counted, is frequent.
@@ -43,6 +49,13 @@ SALTS = 64
 RARE = 4
 #: Rare tokens that a pair must share in its prefixes unless it shares a combination of frequent ones.
 RARE_SHARED = 3
+#: Groups of so many classes at most are compared pair by pair; in larger ones differences from a pivot are indexed.
+SMALL = 8
+#: Levels of the second index: groups of tokens, and tokens in a combination.  A pair that shares
+#: groups * (tokens - 1) + 1 differences shares a combination, or a difference that few sets have.
+LEVELS = ((1, 1), (2, 2), (3, 3), (5, 4))
+#: A pivot of so many tokens has the groups of `LEVELS`, a larger one in proportion more.
+LEVEL_TOKENS = 128
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -65,7 +78,7 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[often])), pa.array(n[often])], names=["token", "n"])
 
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, "__text", 1 << 20):
                 held += shingle_sets(raw(part.column(0)), width)
                 size = sum(len(x) for x in held)
                 if size >= COUNT_TOKENS:
@@ -74,7 +87,7 @@ def frequent_tokens(docs: DataFrame, text: str, width: int) -> np.ndarray:
         if size:
             yield report()
 
-    counts = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select(named(text).alias("__text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = commonest(materialize(counts.where(F.col("n") > FREQUENT), "nj-counts"), "n", FREQUENT_MOST).select("token").toPandas()
     return np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64))
 
@@ -145,7 +158,7 @@ def _prefixes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(upto, pa.int64()), *(pa.array(b, pa.int64()) for b in zip(*(parity(s) for s in sets))), _lists(rare), _lists(common)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).mapInArrow(run, "id long, n long, key binary, upto long, b0 long, b1 long, b2 long, b3 long, rare array<long>, common array<long>")
+    return docs.select(named(id_col).cast("long").alias("id"), named(text).alias("__text")).mapInArrow(run, "id long, n long, key binary, upto long, b0 long, b1 long, b2 long, b3 long, rare array<long>, common array<long>")
 
 
 def _combined(classes: DataFrame, percent: int) -> DataFrame:
@@ -167,10 +180,20 @@ def _sets(docs: DataFrame, text: str, id_col: str, width: int, wanted: DataFrame
             for part in slices(batch, "__text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(raw(part.column(1)), width)], pa.binary())], names=["id", "tokens"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__text")).join(wanted, "id", "left_semi")
+    texts = docs.select(named(id_col).cast("long").alias("id"), named(text).alias("__text")).join(wanted, "id", "left_semi")
     return texts.mapInArrow(run, "id long, tokens binary")
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with the token sets x of a and y of b.
+
+    One a may stand in a good part of all pairs, so its set goes to many tasks: one copy for each salt.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    first = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+    return salted.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").join(first.hint("merge"), ["a", "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar enough."""
 
@@ -184,8 +207,126 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first, second = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def excess(d: int, n: int, percent: int) -> int:
+    """By how much the ``d`` differences of a set of ``n`` tokens from the center exceed its share of what two similar sets may differ in.
+
+    With c = (100 - percent) / (100 + percent), sets x and y are alike if they
+    differ in c (n_x + n_y) tokens at most; this is (100 + percent) (d - c n).
+    Two sets whose excesses add up to 0 or less are alike.
+    """
+    return d * (100 + percent) - n * (100 - percent)
+
+
+def shared_differences(d: int, n: int, least: int, percent: int) -> int:
+    """How many of its ``d`` differences a set shares at least with any similar set, if their excesses add up to more than 0.
+
+    The shared ones are half of the sum of the excesses; ``least`` is the
+    smallest excess among the sets of the pivot, its absolute value if the
+    partner is known to exceed that.
+    """
+    # A partner has n * 100 / percent tokens at most, which bounds in how many tokens the two differ.
+    return max(1, d - n * (100 - percent) // percent, -(-(excess(d, n, percent) + least) // (2 * (100 + percent))))
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a: pivot, b, c, n, np, parity bits of b, tokens: in which they differ) from (a, b, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            numbers = [pa.array([len(f[k]) for f in found], pa.int64()) for k in (1, 0)]
+            bits = [pa.array(b, pa.int64()) for b in zip(*(parity(f[1]) for f in found))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *numbers, *bits, _lists([np.setxor1d(*f, assume_unique=True) for f in found])], names=["a", "b", "c", "n", "np", *BITS, "tokens"])
+
+    return _beside(members, sets).select("a", "b", "c", "x", "y").mapInArrow(run, "a long, b long, c long, n long, np long, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
+
+
+def _centered(table: DataFrame) -> DataFrame:
+    """(a, b, c, n, np, parity bits, d, shared) from `_differences`: the number of differences from the center, and those that other sets of the pivot have too, as (size: number of sets, token)."""
+    tokens = table.select("a", "b", F.explode("tokens").alias("token"))
+    sizes = materialize(tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nj-sizes")
+    shared = tokens.join(sizes.hint("merge"), ["a", "token"]).groupBy("a", "b").agg(F.collect_list(F.struct("size", "token")).alias("shared"))
+    # Where more than half of the sets differ from the pivot in a token, the center does; there are 2 * average differences at most.
+    every = table.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    flipped = sizes.join(every, "a").where("2 * size > members").groupBy("a").agg(F.first("members").alias("members"), F.collect_list(F.struct("size", "token")).alias("flipped"))
+    salted = table.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    salts = salted.select("a", "salt").distinct().join(flipped.hint("merge"), "a")
+    rows = salted.join(salts.hint("merge"), ["a", "salt"], "left").join(shared.hint("merge"), ["a", "b"], "left")
+    lacks = F.filter("flipped", lambda f: ~F.array_contains(F.col("shared.token"), f["token"]))
+    turned = F.transform(F.coalesce("lacks", F.array().cast("array<struct<size:long,token:long>>")), lambda f: F.struct((F.col("members") - f["size"]).alias("size"), f["token"].alias("token")))
+    stays = F.coalesce(F.filter("shared", lambda s: F.col("members").isNull() | (2 * s["size"] <= F.col("members"))), F.array().cast("array<struct<size:long,token:long>>"))
+    rows = rows.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<size:long,token:long>>"))).withColumn("lacks", lacks)
+    rows = rows.select("a", "b", "c", "n", "np", *BITS, (F.size("tokens") - F.size("shared")).alias("alone"), stays.alias("stays"), turned.alias("turned"))
+    return rows.select("a", "b", "c", "n", "np", *BITS, (F.col("alone") + F.size("stays") + F.size("turned")).cast("long").alias("d"), F.concat("stays", F.filter("turned", lambda t: t["size"] > 1)).alias("shared"))
+
+
+def difference_signatures(d: int, floor: int, n_pivot: int, shared: list[tuple[int, int]]) -> np.ndarray:
+    """What a set is indexed by below its pivot.
+
+    Of its ``d`` differences, those that other sets of the pivot have too are
+    given as (sets, token) in ``shared``; the order of all differences is by
+    the number of sets, then by token.  Two sets meet at the level of the one
+    with the larger ``floor``, so each takes part in its own level and those above.
+    """
+    shared = sorted(shared)
+    alone = d - len(shared)
+    scale = max(1, n_pivot // LEVEL_TOKENS)
+    levels = [(1, 1) if k == 1 else (g * scale, k) for g, k in LEVELS]
+    needs = [g * (k - 1) + 1 for g, k in levels]
+    own = max(k for k, need in enumerate(needs) if need <= floor)
+    found = []
+    for (groups, width), need in list(zip(levels, needs))[own:]:
+        prefix = shared[: max(0, min(d, d - floor + need) - alone)]
+        few = np.array([t for size, t in prefix if size <= SMALL or width == 1], dtype=np.int64).view(np.uint64)
+        found.append(few & ~np.uint64(1))
+        if width > 1:
+            many = np.array([t for size, t in prefix if size > SMALL], dtype=np.int64).view(np.uint64)
+            place = many % np.uint64(groups)
+            for g in np.unique(place):
+                tokens = many[place == g]
+                if len(tokens) >= width:
+                    at = np.array(list(combinations(range(len(tokens)), width)))
+                    acc = np.full(len(at), width, dtype=np.uint64)
+                    for k in range(width):
+                        acc = mixed(acc + np.sort(tokens)[at[:, k]])
+                    found.append(acc | np.uint64(1))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
+
+
+def _difference_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Certain links and candidate pairs (a, b), a < b, of sets of one pivot; ``members`` is (a: pivot, b, c: component)."""
+    rows = materialize(_centered(materialize(_differences(members, sets), "nj-differ")), "nj-centered")
+    over = F.col("d") * (100 + percent) - F.col("n") * (100 - percent)
+    nearest = rows.groupBy("a").agg(F.min(F.struct(over.alias("over"), F.col("b").alias("b"), F.col("c").alias("c"))).alias("nearest"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    nearest = salted.select("a", "salt").distinct().join(nearest.hint("merge"), "a")
+    rows = salted.join(nearest.hint("merge"), ["a", "salt"]).drop("salt").withColumn("apart", over + F.col("nearest.over") > 0)
+    sure = rows.where(~F.col("apart") & (F.col("b") != F.col("nearest.b"))).select(F.least("b", "nearest.b").alias("a"), F.greatest("b", "nearest.b").alias("b"))
+    rows = rows.select("a", "b", F.when(F.col("apart"), F.col("c")).otherwise(F.col("nearest.c")).alias("c"), "apart", "n", "d", *BITS, "np", F.col("nearest.over").alias("least"), "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = []
+            for apart, n, d, n_pivot, least, found in zip(*(batch.column(k).to_pylist() for k in ("apart", "n", "d", "np", "least", "shared"))):
+                floor = shared_differences(d, n, least if apart else abs(least), percent)
+                sigs.append(difference_signatures(d, floor, n_pivot, [(s["size"], s["token"]) for s in found]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:10], _lists(sigs)], names=["a", "b", "c", "apart", "n", "d", *BITS, "sigs"])
+
+    rows = rows.mapInArrow(run, "a long, b long, c long, apart boolean, n long, d long, b0 long, b1 long, b2 long, b3 long, sigs array<long>")
+    rows = rows.select("a", "b", "c", "apart", "n", "d", *BITS, F.explode("sigs").alias("sig"))
+    rows = materialize(rows, "nj-below")
+    some = rows.groupBy("a", "sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("any")).where("lo < hi and any").select("a", "sig")
+    rows = materialize(rows.join(some.hint("merge"), ["a", "sig"]), "nj-below-open")
+    x = rows.where("apart").select("a", "sig", *[F.col(k).alias(k + "x") for k in ("b", "c", "n", "d", *BITS)])
+    y = rows.select("a", "sig", *[F.col(k).alias(k + "y") for k in ("b", "c", "n", "d", "apart", *BITS)])
+    once = ~F.col("aparty") | (F.col("bx") < F.col("by"))
+    apart_bits = sum((F.bit_count(F.col(k + "x").bitwiseXOR(F.col(k + "y"))) for k in BITS), F.lit(0))
+    close = F.greatest(F.abs(F.col("dx") - F.col("dy")), apart_bits) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    pairs = x.join(y.hint("merge"), ["a", "sig"]).where((F.col("cx") != F.col("cy")) & once & close)
+    return sure, pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct()
 
 
 def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,12 +356,11 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     indexed = classes.select("rep", "n", "upto", F.size("rare").cast("long").alias("indexed"), "common").join(met.hint("merge"), "rep", "left").withColumn("common", F.concat("common", F.coalesce("more", F.array().cast("array<long>"))))
     # No other set is indexed by such a token, so none whose rare tokens are indexed that far has it.
     own = F.col("indexed") - F.coalesce("met", F.lit(0))
-    of_sig = Window.partitionBy("sig")
-    groups = _combined(indexed.withColumn("own", own), percent).select("rep", "n", "upto", "own", F.explode("sigs").alias("sig"))
-    # The set with the fewest tokens of its own is the likeliest to be what the others were made from.
-    first = F.min(F.struct("own", "rep", "n", "upto")).over(of_sig)
-    groups = groups.withColumn("size", F.count(F.lit(1)).over(of_sig)).withColumn("first", first).where("size > 1").drop("size")
-    groups = materialize(groups, "nj-groups")
+    sigs = materialize(_combined(indexed.withColumn("own", own), percent), "nj-sigs").select("rep", "n", "upto", "own", F.explode("sigs").alias("sig"))
+    # The set with the fewest tokens of its own is the likeliest to be what the others were made from.  A signature
+    # may be in a good part of all sets: it is aggregated before it is shuffled, and joins can split it.
+    about = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "rep", "n", "upto")).alias("first")).where("size > 1")
+    groups = materialize(sigs.join(about.hint("merge"), "sig"), "nj-groups")
 
     def near(n: tuple[str, str], upto: tuple[str, str], own: tuple[str, str]):
         """Whether sizes, less the tokens that only one of two sets can have, allow the similarity."""
@@ -244,19 +384,25 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     links = materialize(_verified(star, docs_sets(star, "merge"), percent), "nj-links")
     label = components(links)
     about = classes.select("rep", *BITS).join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", *BITS, F.coalesce("component", "rep").alias("c"))
-    marked = groups.drop("first").join(about.hint("merge"), "rep")
-    apart = marked.withColumn("lo", F.min("c").over(of_sig)).withColumn("hi", F.max("c").over(of_sig)).where("lo < hi").drop("lo", "hi")
-    apart = materialize(apart, "nj-apart")
-    x, y = (apart.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "upto", "own", "c", *BITS)]) for s in "xy")
+    marked = materialize(groups.join(about.hint("merge"), "rep"), "nj-marked")
+    several = marked.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+    apart = materialize(marked.join(several.hint("merge"), "sig"), "nj-apart")
+    few = apart.where(F.col("size") <= SMALL)
+    x, y = (few.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "upto", "own", "c", *BITS)]) for s in "xy")
     apart_bits = sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in BITS), F.lit(0))
     alike = apart_bits * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     cross = x.join(y.hint("merge"), "sig").where((F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy")) & alike & near(("nx", "ny"), ("uptox", "uptoy"), ("ownx", "owny"))).select("sig", F.col("repx").alias("a"), F.col("repy").alias("b"))
     cross = materialize(candidates(cross).join(star.hint("merge"), ["a", "b"], "left_anti"), "nj-cross")
-    more = materialize(_verified(cross, docs_sets(cross), percent), "nj-more")
+    members = apart.where(F.col("size") > SMALL).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), "c").where("a != b").distinct()
+    members = materialize(members, "nj-members")
+    sets = docs_sets(cross.unionAll(members.select("a", "b")), "merge")
+    sure, below = _difference_pairs(members, sets, percent)
+    cross = materialize(cross.unionAll(below).distinct(), "nj-pairs")
+    more = materialize(_verified(cross, sets, percent).unionAll(sure), "nj-more")
     final = components(links.unionAll(more))
-    named = classes.select("key", "rep").join(final.hint("merge"), classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.select("key", "rep").join(final.hint("merge"), classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     # The rows of a class meet its component salt by salt, so a class of a third of all rows is spread.
-    salts = linked.select("key", salt.alias("salt")).distinct().join(named.hint("merge"), "key")
+    salts = linked.select("key", salt.alias("salt")).distinct().join(of_class.hint("merge"), "key")
     salted = rows.withColumn("salt", salt)
     found = salted.join(salts.hint("merge"), ["key", "salt"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -265,5 +411,6 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
 def keep_one_per_component(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that lead their component (its smallest id), and those without words or id; columns as they came."""
     found = ngram_join(docs, text, id_col, width, percent)
-    others = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__nj_gone")).distinct()
-    return docs.join(others.hint("merge"), docs[id_col] == F.col("__nj_gone"), "left_anti")
+    gone = free_prefix(docs.columns, "__nj_") + "gone"
+    others = found.where(F.col("component_id") != named(id_col)).select(named(id_col).alias(gone)).distinct()
+    return docs.join(others.hint("merge"), named(id_col) == F.col(gone), "left_anti")
