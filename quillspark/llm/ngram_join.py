@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import commonest, free_prefix, materialize, named
+from .store import commonest, discard, free_prefix, materialize, named
 from .words import mixed, raw, shingle_sets, slices
 
 #: A token in more documents than this, as far as tasks have counted, is frequent.
@@ -319,7 +319,8 @@ def _difference_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tupl
     rows = rows.select("a", "b", "c", "apart", "n", "d", *BITS, F.explode("sigs").alias("sig"))
     rows = materialize(rows, "nj-below")
     some = rows.groupBy("a", "sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("apart").alias("any")).where("lo < hi and any").select("a", "sig")
-    rows = materialize(rows.join(some.hint("merge"), ["a", "sig"]), "nj-below-open")
+    below, rows = rows, materialize(rows.join(some.hint("merge"), ["a", "sig"]), "nj-below-open")
+    discard(below)
     x = rows.where("apart").select("a", "sig", *[F.col(k).alias(k + "x") for k in ("b", "c", "n", "d", *BITS)])
     y = rows.select("a", "sig", *[F.col(k).alias(k + "y") for k in ("b", "c", "n", "d", "apart", *BITS)])
     once = ~F.col("aparty") | (F.col("bx") < F.col("by"))
@@ -356,11 +357,13 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     indexed = classes.select("rep", "n", "upto", F.size("rare").cast("long").alias("indexed"), "common").join(met.hint("merge"), "rep", "left").withColumn("common", F.concat("common", F.coalesce("more", F.array().cast("array<long>"))))
     # No other set is indexed by such a token, so none whose rare tokens are indexed that far has it.
     own = F.col("indexed") - F.coalesce("met", F.lit(0))
-    sigs = materialize(_combined(indexed.withColumn("own", own), percent), "nj-sigs").select("rep", "n", "upto", "own", F.explode("sigs").alias("sig"))
+    combined = materialize(_combined(indexed.withColumn("own", own), percent), "nj-sigs")
+    sigs = combined.select("rep", "n", "upto", "own", F.explode("sigs").alias("sig"))
     # The set with the fewest tokens of its own is the likeliest to be what the others were made from.  A signature
     # may be in a good part of all sets: it is aggregated before it is shuffled, and joins can split it.
     about = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "rep", "n", "upto")).alias("first")).where("size > 1")
     groups = materialize(sigs.join(about.hint("merge"), "sig"), "nj-groups")
+    discard(combined)
 
     def near(n: tuple[str, str], upto: tuple[str, str], own: tuple[str, str]):
         """Whether sizes, less the tokens that only one of two sets can have, allow the similarity."""
@@ -381,12 +384,16 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     star = star.where(near(("na", "nb"), ("uptoa", "uptob"), ("owna", "ownb")))
     star = star.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
     star = materialize(candidates(star), "nj-star")
-    links = materialize(_verified(star, docs_sets(star, "merge"), percent), "nj-links")
+    sets = docs_sets(star, "merge")
+    links = materialize(_verified(star, sets, percent), "nj-links")
+    discard(sets)
     label = components(links)
     about = classes.select("rep", *BITS).join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", *BITS, F.coalesce("component", "rep").alias("c"))
     marked = materialize(groups.join(about.hint("merge"), "rep"), "nj-marked")
+    discard(groups)
     several = marked.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     apart = materialize(marked.join(several.hint("merge"), "sig"), "nj-apart")
+    discard(marked)
     few = apart.where(F.col("size") <= SMALL)
     x, y = (few.select("sig", *[F.col(c).alias(c + s) for c in ("rep", "n", "upto", "own", "c", *BITS)]) for s in "xy")
     apart_bits = sum((F.bit_count(F.col(b + "x").bitwiseXOR(F.col(b + "y"))) for b in BITS), F.lit(0))
@@ -395,10 +402,12 @@ def ngram_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     cross = materialize(candidates(cross).join(star.hint("merge"), ["a", "b"], "left_anti"), "nj-cross")
     members = apart.where(F.col("size") > SMALL).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), "c").where("a != b").distinct()
     members = materialize(members, "nj-members")
+    discard(apart, star)
     sets = docs_sets(cross.unionAll(members.select("a", "b")), "merge")
     sure, below = _difference_pairs(members, sets, percent)
-    cross = materialize(cross.unionAll(below).distinct(), "nj-pairs")
-    more = materialize(_verified(cross, sets, percent).unionAll(sure), "nj-more")
+    pairs = materialize(cross.unionAll(below).distinct(), "nj-pairs")
+    more = materialize(_verified(pairs, sets, percent).unionAll(sure), "nj-more")
+    discard(cross, members, pairs, sets)
     final = components(links.unionAll(more))
     of_class = classes.select("key", "rep").join(final.hint("merge"), classes["rep"] == final["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     # The rows of a class meet its component salt by salt, so a class of a third of all rows is spread.

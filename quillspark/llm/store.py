@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the copy.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed when the driver's JVM ends, or by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -55,7 +55,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `materialize` that nothing reads any more: what was made of them has been written itself."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
