@@ -18,7 +18,9 @@ tokens that most sets of a pivot have are its center.  Sets near the center
 are alike for sure and are linked through the nearest one; two other sets that
 are alike differ from the center in the same tokens for a good part, so the
 tokens in which a set differs from it are indexed in turn, singly where few
-sets of the pivot have them, in combinations of up to four where many do.  No
+sets of the pivot have them, in combinations of up to four where many do.
+Before that, differences are dropped that no other set has which could be alike,
+judged by how many differences are left to either, until few more go.  No
 link that decides a component is lost and no group is expanded into all pairs.
 """
 
@@ -51,6 +53,14 @@ RARE = 4
 RARE_SHARED = 3
 #: Groups of so many classes at most are compared pair by pair; in larger ones differences from a pivot are indexed.
 SMALL = 8
+#: Differences that so many sets of a pivot still have at most are indexed singly.
+FEW = 64
+#: The sets that have a difference are told apart by so many hash classes of their components, and by their excess
+#: in steps of so large a part of what two similar sets may differ in.
+PLACES = 8
+STEP = 0.5
+#: Dropping differences goes on while a round drops at least this share of them.
+WORTHWHILE = 0.1
 #: Levels of the second index: groups of tokens, and tokens in a combination.  A pair that shares
 #: groups * (tokens - 1) + 1 differences shares a combination, or a difference that few sets have.
 LEVELS = ((1, 1), (2, 2), (3, 3), (5, 4))
@@ -224,8 +234,7 @@ def shared_differences(d: int, n: int, least: int, percent: int) -> int:
     """How many of its ``d`` differences a set shares at least with any similar set, if their excesses add up to more than 0.
 
     The shared ones are half of the sum of the excesses; ``least`` is the
-    smallest excess among the sets of the pivot, its absolute value if the
-    partner is known to exceed that.
+    smallest excess that such a set may have.
     """
     # A partner has n * 100 / percent tokens at most, which bounds in how many tokens the two differ.
     return max(1, d - n * (100 - percent) // percent, -(-(excess(d, n, percent) + least) // (2 * (100 + percent))))
@@ -267,8 +276,8 @@ def difference_signatures(d: int, floor: int, n_pivot: int, shared: list[tuple[i
     """What a set is indexed by below its pivot.
 
     Of its ``d`` differences, those that other sets of the pivot have too are
-    given as (sets, token) in ``shared``; the order of all differences is by
-    the number of sets, then by token.  Two sets meet at the level of the one
+    given as (sets, token) in ``shared``, as far as a similar set may have them;
+    the order of all differences is by the number of sets, then by token.  Two sets meet at the level of the one
     with the larger ``floor``, so each takes part in its own level and those above.
     """
     shared = sorted(shared)
@@ -280,10 +289,10 @@ def difference_signatures(d: int, floor: int, n_pivot: int, shared: list[tuple[i
     found = []
     for (groups, width), need in list(zip(levels, needs))[own:]:
         prefix = shared[: max(0, min(d, d - floor + need) - alone)]
-        few = np.array([t for size, t in prefix if size <= SMALL or width == 1], dtype=np.int64).view(np.uint64)
+        few = np.array([t for size, t in prefix if size <= FEW or width == 1], dtype=np.int64).view(np.uint64)
         found.append(few & ~np.uint64(1))
         if width > 1:
-            many = np.array([t for size, t in prefix if size > SMALL], dtype=np.int64).view(np.uint64)
+            many = np.array([t for size, t in prefix if size > FEW], dtype=np.int64).view(np.uint64)
             place = many % np.uint64(groups)
             for g in np.unique(place):
                 tokens = many[place == g]
@@ -296,6 +305,42 @@ def difference_signatures(d: int, floor: int, n_pivot: int, shared: list[tuple[i
     return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
 
 
+def _useful(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, least, shared) of the sets that may have a link yet unknown; ``rows`` is (a: pivot, b, c: component, apart, n, d, np, over: excess, shared).
+
+    Sets x and y are alike if twice their shared differences, times
+    100 + percent, reach the sum of their excesses.  So a difference of x is of
+    use only if another set y has it, of another component and one of the two
+    apart, such that the useful differences of either alone would suffice.
+    ``shared`` holds the useful differences as (sets to which it is of use,
+    token), ``least`` is the smallest excess of such a y.  A set with too few
+    of them is dropped, which makes differences of other sets useless in turn.
+    """
+    double = 2 * (100 + percent)
+    w = Window.partitionBy("a", "b")
+    tokens = rows.select("a", "b", "c", "apart", "n", "d", "np", "over", F.size("shared").cast("long").alias("m"), F.explode("shared.token").alias("token"))
+    tokens = materialize(tokens.withColumn("least", F.lit(None).cast("long")), "nj-useful-0")
+    left = tokens.count()
+    while left:
+        spare = double * F.col("m") - F.col("over")
+        place = [F.pmod(F.xxhash64("c"), F.lit(PLACES)).alias("place"), F.floor(F.col("over") / F.greatest(F.lit(1.0), F.col("np") * (100 - percent) * STEP)).alias("step")]
+        held = tokens.groupBy("a", "token", "apart", *place).agg(F.max(spare).alias("spare"), F.min("over").alias("over"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        held = held.groupBy("a", "token").agg(F.collect_list(F.struct("apart", "spare", "over", "lo", "hi")).alias("held"))
+        may = lambda h: ((h["lo"] != F.col("c")) | (h["hi"] != F.col("c"))) & (F.col("apart") | h["apart"]) & (h["spare"] >= F.col("over")) & (h["over"] <= spare)
+        found = tokens.drop("least").join(held.hint("merge"), ["a", "token"]).withColumn("least", F.array_min(F.transform(F.filter("held", may), lambda h: h["over"])))
+        found = found.drop("held").where("least is not null").withColumns({"m": F.count(F.lit(1)).over(w), "least": F.min("least").over(w)})
+        # `shared_differences` as a column.
+        floor = F.greatest(F.lit(1), F.expr(f"d - n * {100 - percent} div {percent}"), F.expr(f"(over + least + {double - 1}) div {double}"))
+        before, old = left, tokens
+        tokens = materialize(found.where(F.col("m") >= floor).select(*tokens.columns), "nj-useful")
+        discard(old)
+        left = tokens.count()
+        if left >= (1 - WORTHWHILE) * before:
+            break
+    sizes = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("size"))
+    return tokens.join(sizes.hint("merge"), ["a", "token"]).groupBy("a", "b").agg(F.min("least").alias("least"), F.collect_list(F.struct("size", "token")).alias("shared"))
+
+
 def _difference_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Certain links and candidate pairs (a, b), a < b, of sets of one pivot; ``members`` is (a: pivot, b, c: component)."""
     rows = materialize(_centered(materialize(_differences(members, sets), "nj-differ")), "nj-centered")
@@ -305,13 +350,14 @@ def _difference_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tupl
     nearest = salted.select("a", "salt").distinct().join(nearest.hint("merge"), "a")
     rows = salted.join(nearest.hint("merge"), ["a", "salt"]).drop("salt").withColumn("apart", over + F.col("nearest.over") > 0)
     sure = rows.where(~F.col("apart") & (F.col("b") != F.col("nearest.b"))).select(F.least("b", "nearest.b").alias("a"), F.greatest("b", "nearest.b").alias("b"))
-    rows = rows.select("a", "b", F.when(F.col("apart"), F.col("c")).otherwise(F.col("nearest.c")).alias("c"), "apart", "n", "d", *BITS, "np", F.col("nearest.over").alias("least"), "shared")
+    rows = rows.select("a", "b", F.when(F.col("apart"), F.col("c")).otherwise(F.col("nearest.c")).alias("c"), "apart", "n", "d", *BITS, "np", over.alias("over"), "shared")
+    rows = rows.drop("over", "shared").join(_useful(rows, percent).hint("merge"), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = []
-            for apart, n, d, n_pivot, least, found in zip(*(batch.column(k).to_pylist() for k in ("apart", "n", "d", "np", "least", "shared"))):
-                floor = shared_differences(d, n, least if apart else abs(least), percent)
+            for n, d, n_pivot, least, found in zip(*(batch.column(k).to_pylist() for k in ("n", "d", "np", "least", "shared"))):
+                floor = shared_differences(d, n, least, percent)
                 sigs.append(difference_signatures(d, floor, n_pivot, [(s["size"], s["token"]) for s in found]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:10], _lists(sigs)], names=["a", "b", "c", "apart", "n", "d", *BITS, "sigs"])
 

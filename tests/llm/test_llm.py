@@ -222,6 +222,53 @@ def test_ngram_join_differences_from_pivots(spark, monkeypatch):
     assert got == brute_components(texts, 5, 80)[0] and "nj-below" in seen
 
 
+def changed_copies(rng, n_words, n_copies, most):
+    texts = {}
+    for i in range(n_copies):
+        w = [f"o{j}" for j in range(n_words)]
+        for at in rng.integers(0, n_words, int(rng.integers(0, most))):
+            w[at] = f"c{rng.integers(0, 400)}"
+        texts[i] = " ".join(w)
+    return texts
+
+
+def test_ngram_join_indexes_few_differences(spark, monkeypatch):
+    """Many copies of one text, each changed at random: few differences can lead to a link, so few are indexed."""
+    texts = changed_copies(np.random.default_rng(23), 150, 500, 14)
+    made = {}
+
+    def counted(df, name):
+        made[name] = store.materialize(df, name)
+        if name == "nj-below":
+            made["rows"] = made[name].count()
+        return made[name]
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, width=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)[0]
+    assert made["rows"] < 4 * len(texts)
+
+
+@pytest.mark.parametrize("few,worthwhile", [(3, 1.0), (64, 0.0)])
+def test_ngram_join_useful_differences(spark, monkeypatch, few, worthwhile):
+    """One round of dropping with combinations of differences, and all rounds with single ones, lose no link."""
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "WORTHWHILE", worthwhile)
+    rng = np.random.default_rng(29)
+    texts = changed_copies(rng, 120, 150, 12)
+    for i in range(150, 330):  # copies of copies share differences from the center
+        w = texts[int(rng.integers(0, i))].split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[at : at + 1] = [[f"c{rng.integers(0, 5)}"], [], [w[at]] * 2][rng.integers(0, 3)]
+            w.append("end")
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, width=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)[0]
+
+
 def test_shared_differences_is_a_bound():
     rng = np.random.default_rng(3)
     seen = Counter()
