@@ -269,6 +269,42 @@ def test_ngram_join_useful_differences(spark, monkeypatch, few, worthwhile):
     assert got == brute_components(texts, 5, 80)[0]
 
 
+def test_ngram_join_leaves_strangers_of_pivots(spark, monkeypatch):
+    """Texts that share a passage and little else meet by its tokens; their differences need not be listed."""
+    passage = [f"p{j}" for j in range(79)]
+    texts = {i: " ".join(passage + [f"own{i}_{j}" for j in range(25)]) for i in range(80)}
+    texts |= {100 + i: texts[i].replace(f"own{i}_{9 + i}", f"new{i}") for i in range(5)}
+    handed = []
+
+    def centered(table, of=ngram_join._centered):
+        handed.extend(r.tokens for r in table.collect())
+        return of(table)
+
+    monkeypatch.setattr(ngram_join, "_centered", centered)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, width=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)[0]
+    assert sum(map(len, handed)) < 5 * len(texts)
+
+
+def test_outside_prefix_is_a_bound():
+    rng = np.random.default_rng(31)
+    seen = Counter()
+    for _ in range(6000):
+        n = int(rng.integers(5, 200))
+        b = rng.choice(400, n, replace=False)
+        c = np.union1d(b[rng.random(n) < rng.uniform(0.7, 1)], rng.choice(400, rng.integers(0, 1 + n // 4), replace=False))
+        a = np.unique(np.concatenate([b[rng.random(n) < rng.uniform(0, 0.9)], rng.choice(400, rng.integers(0, n), replace=False)]))
+        percent = int(rng.integers(50, 95))
+        both = len(np.intersect1d(b, c))
+        if 100 * both >= percent * (n + len(c) - both):
+            a, b, c = (np.sort(x).astype(np.uint64) for x in (a, b, c))
+            (x, need_x), (y, need_y) = (ngram_join.outside_prefix(s, a, percent) for s in (b, c))
+            seen[max(need_x, need_y) > 3] += 1
+            assert len(np.intersect1d(x, y)) >= max(need_x, need_y)
+    assert min(seen[True], seen[False]) > 20
+
+
 def test_shared_differences_is_a_bound():
     rng = np.random.default_rng(3)
     seen = Counter()
