@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, exact_dedup, langid, lm, mixing, ngram_join, packing, pii, quality, registry, store, toxicity
+from quillspark.llm import chat, exact_dedup, graph, langid, lm, mixing, ngram_join, packing, pii, quality, registry, store, toxicity
 from quillspark.llm.graph import components
 from quillspark.llm.store import table
 
@@ -269,6 +269,30 @@ def test_ngram_join_useful_differences(spark, monkeypatch, few, worthwhile):
     assert got == brute_components(texts, 5, 80)[0]
 
 
+@pytest.mark.parametrize("together", [0, 250, 1 << 16])
+def test_ngram_join_rounds_for_large_tables_only(spark, monkeypatch, together):
+    """What one task can look through takes no rounds; in rounds, or with some pivots in rounds, the result is the same."""
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "TOGETHER", together, raising=False)
+    monkeypatch.setattr(graph, "TOGETHER", together, raising=False)
+    rng = np.random.default_rng(37)
+    texts = changed_copies(rng, 120, 100, 12)
+    texts |= {100 + i: t.replace("o", "other") for i, t in changed_copies(rng, 120, 30, 12).items()}
+    for i in range(130, 260):  # copies of copies share differences from the center
+        w = texts[int(rng.integers(0, i))].split()
+        for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+            w[at : at + 1] = [[f"c{rng.integers(0, 5)}"], [], [w[at]] * 2][rng.integers(0, 3)]
+            w.append("end")
+        texts[i] = " ".join(w)
+    seen = Counter()
+    for module in (ngram_join, graph):
+        monkeypatch.setattr(module, "materialize", lambda df, name: seen.update([name]) or store.materialize(df, name))
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, width=5, percent=80).collect()}
+    assert got == brute_components(texts, 5, 80)[0]
+    assert (seen["nj-useful"] == seen["cc-0"] == 0 and seen["cc"] == 2) == (together == 1 << 16)
+
+
 def test_ngram_join_leaves_strangers_of_pivots(spark, monkeypatch):
     """Texts that share a passage and little else meet by its tokens; their differences need not be listed."""
     passage = [f"p{j}" for j in range(79)]
