@@ -12,29 +12,29 @@ with the counts of all training words.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import commonest, materialize, named
-from .words import raw, slices
+from .words import encoded, slices
 
 STATES = 8
 #: A word has a symbol of its own if it is at least one in so many training tokens, so at most so many words have.
 VOCABULARY = 49_152
-#: Words whose counts are sent to executors, the commonest (about 30 MB there); it decides where counts are looked up, never a result.
+#: Words whose counts are sent to executors, the commonest (about 6 MB there); it decides where counts are looked up, never a result.
 COUNTED = 200_000
 CLASSES = 256
 ROUNDS = 5
-#: Training handles texts in runs of so many tokens side by side, and so many runs at once; the
-#: probabilities before and after each run are those of the whole text.
-RUN, SLICE = 128, 4096
+#: Training cuts texts of more than ``WHOLE`` tokens into runs of ``RUN``; the probabilities before and after each run are
+#: those of the whole text.  ``SLICE * RUN`` tokens are worked out at once, of texts of similar length out of ``POOL`` as many.
+RUN, SLICE, WHOLE, POOL = 128, 4096, 8192, 8
 SMOOTHING = 50.0
 SEED = 7
 END = 0
@@ -45,16 +45,37 @@ def class_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % CLASSES
 
 
+def classes(words: pa.Array) -> np.ndarray:
+    """`class_of` for each word; each ending is hashed once."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    words = words.cast(pa.string())
+    _, offsets, data = words.buffers()
+    until = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    text = np.frombuffer(data, dtype=np.uint8) if data and data.size else np.zeros(1, dtype=np.uint8)
+    size = np.minimum(np.diff(until), 3)
+    key = size << 24
+    for k in range(3):
+        key |= np.where(size > k, text[np.maximum(until[1:] - 1 - k, 0)].astype(np.int64) << (8 * k), 0)
+    endings, at = np.unique(key, return_inverse=True)
+    return np.array([class_of(int(e & 0xFFFFFF).to_bytes(3)[3 - (int(e) >> 24) :]) for e in endings], dtype=np.int64)[at]
+
+
 class Vocabulary:
     """Symbols and counts of the commonest training words; the first ``own`` of them have symbols of their own."""
 
-    def __init__(self, words: list[bytes], counts: list[int], own: int):
-        self.known = {w: (1 + k if k < own else 1 + VOCABULARY + class_of(w), c) for k, (w, c) in enumerate(zip(words, counts))}
+    def __init__(self, words: pa.Array, counts: np.ndarray, own: int):
+        self.words = words
+        self.symbol = np.concatenate([1 + np.arange(own), 1 + VOCABULARY + classes(words[own:]), [0]])
+        self.count = np.concatenate([counts, [-1]])
 
-    def symbol(self, word: bytes) -> tuple[int, int]:
-        """Symbol and training count of a word; count -1 if it must be looked up."""
-        found = self.known.get(word)
-        return found or (1 + VOCABULARY + class_of(word), -1)
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and training counts of words; count -1 if it must be looked up."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), len(self.words)).to_numpy()
+        symbol, count = self.symbol[at], self.count[at]
+        other = np.flatnonzero(count < 0)
+        symbol[other] = 1 + VOCABULARY + classes(words.take(pa.array(other)))
+        return symbol, count
 
 
 SYMBOLS = 1 + VOCABULARY + CLASSES
@@ -64,19 +85,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all of ``docs`` (text); words are folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def report() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for x in raw(part.column(0)):
-                    counts.update(x.lower().split())
-                if len(counts) > 400_000:
-                    yield report()
-                    counts.clear()
-        yield report()
+                code, _, words = encoded(part.column(0))
+                counts = np.bincount(code, minlength=len(words))
+                held.append(pa.table({"word": words.cast(pa.string()), "c": counts}).filter(pa.array(counts > 0)))
+                if sum(t.num_rows for t in held) > 800_000:
+                    held = [merged()]
+                    if held[0].num_rows > 400_000:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -94,32 +118,28 @@ def symbols(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
-        known_words, other = sent.value.known, sent.value.symbol
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
-                for x in raw(part.column(2)):
-                    words = x.lower().split()
-                    count = Counter(words)
-                    code = {w: known_words.get(w) or other(w) for w in count}
-                    seq = np.array([code[w][0] for w in words] + [END], dtype="<u2")
-                    known = head = rare = 0
-                    tail = []
-                    for w, n in count.items():
-                        s, c = code[w]
-                        if c < 0:
-                            tail.append({"word": w.decode(), "n": n})
-                            continue
-                        known += n
-                        v = n * math.log10(c + 1)
-                        head += v
-                        if s > VOCABULARY:
-                            rare += v
-                    rows.append((rid, len(seq), known, head, rare, seq.tobytes(), tail))
-                    rid += 1
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(item)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["id", "held_out", "rid", "n_tokens", "known", "head", "rare", "symbols", "tail"])
+                code, count, words = encoded(part.column(2))
+                words = words.cast(pa.string())
+                symbol, c = sent.value.look_up(words)
+                log = np.log10(np.maximum(c, 0) + 1.0)
+                text = np.repeat(np.arange(len(count)), count)
+                seq = np.full(len(code) + len(count), END, dtype="<u2")
+                seq[np.arange(len(code)) + text] = symbol[code]
+                until = np.concatenate([[0], np.cumsum(count + 1)])
+                far = np.flatnonzero(c[code] < 0)
+                place, n = np.unique(text[far] * max(len(words), 1) + code[far], return_counts=True)
+                of, word = np.divmod(place, max(len(words), 1))
+                tail = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(n)], fields=list(item))
+                cols = [
+                    pa.array(np.arange(rid, rid + len(count))), pa.array(count + 1), pa.array(count - np.bincount(text[far], minlength=len(count))),
+                    pa.array(np.bincount(text, weights=log[code], minlength=len(count))), pa.array(np.bincount(text, weights=(log * (symbol > VOCABULARY))[code], minlength=len(count))),
+                    pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer((2 * until).astype(np.int32)), pa.py_buffer(seq)]),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(count) + 1)), pa.int32()), tail),
+                ]
+                rid += len(count)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "held_out", "rid", "n_tokens", "known", "head", "rare", "symbols", "tail"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "held_out", "text").mapInArrow(run, f"id {kind}, held_out boolean, rid long, n_tokens long, known long, head double, rare double, symbols binary, tail array<struct<word:string,n:long>>")
@@ -130,54 +150,56 @@ class Hmm:
         self.start, self.step, self.emit = start, step, emit  # emit: symbols by states
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Exact log10 probability of each sequence of symbols: forward, scaled at each token, many texts a token at a time."""
-        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        lengths = np.array([len(texts[k]) for k in order])
-        total = np.zeros(len(order))
-        if not len(order):
-            return total
-        flat = np.concatenate([texts[k] for k in order]).astype(np.int64)
-        offset = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-        alpha = np.tile(self.start, (len(order), 1))
-        for t in range(lengths[0]):
-            n = alive[t]
-            a = (alpha[:n] @ self.step if t else alpha[:n]) * self.emit[flat[offset[:n] + t]]
-            scale = a.sum(axis=1)
-            alpha[:n] = a / scale[:, None]
-            total[:n] += np.log10(scale)
-        out = np.empty(len(order))
-        out[order] = total
+        """Exact log10 probability of each sequence of symbols: forward, scaled as it goes, many texts a token at a time."""
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        out = np.empty(len(texts))
+        if not len(texts):
+            return out
+        flat, start = np.concatenate(texts), np.cumsum(lengths) - lengths
+        step, emit = np.ascontiguousarray(self.step.T), np.ascontiguousarray(self.emit.T)
+        for at in _slices(lengths):
+            symbols, base, alive = _by_position(flat, start[at], lengths[at])
+            total, alpha = np.zeros(len(at)), np.empty((len(step), len(at)))
+            ahead = np.repeat(self.start[:, None], len(at), axis=1)
+            for t, n in enumerate(alive[:-1]):
+                if t:
+                    np.matmul(step, alpha[:, :n], out=ahead[:, :n])
+                a = np.multiply(ahead[:, :n], emit.take(symbols[base[t] : base[t + 1]], axis=1), out=alpha[:, :n])
+                if t % 4 == 3 or alive[t + 1] < n:
+                    scale = a.sum(axis=0)
+                    a /= scale
+                    total[:n] += np.log10(scale)
+            out[at] = total
         return out
 
     def expect(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts over whole texts (arrays of symbols, none empty): first states, steps, emissions by symbol.
 
-        A text is cut into runs.  The product of a run's matrices carries the
-        forward probabilities over it from its beginning to its end, and the
-        backward ones the other way, so one pass over the runs of a text gives
-        both at every cut; then all runs are worked out side by side.
+        A text of more than ``WHOLE`` tokens is cut into runs.  The product of
+        a run's matrices carries the forward probabilities over it from its
+        beginning to its end, and the backward ones the other way, so one pass
+        over the runs of a text gives both at every cut; then all runs and all
+        other texts are worked out side by side.
         """
         k = len(self.start)
-        count = np.array([-(-len(x) // RUN) for x in texts])
+        size = np.array([len(x) for x in texts], dtype=np.int64)
+        count = np.where(size > WHOLE, -(-size // RUN), 1)
         last = np.cumsum(count) - 1
         head = last - count + 1
-        place = np.zeros(int(count.sum()), dtype=np.int64)  # of each run in its text
-        place[head[1:]] = -count[:-1]
-        place = np.cumsum(place + 1) - 1
-        length = np.full(len(place), RUN)
-        length[last] = [len(x) - (c - 1) * RUN for x, c in zip(texts, count)]
-        symbols = np.zeros((len(place), RUN), dtype=np.int64)
-        symbols[np.arange(RUN) < length[:, None]] = np.concatenate(texts)
-
-        start, step, emit = (x.astype(np.float32) for x in (self.start, self.step, self.emit))
+        place = np.arange(int(count.sum())) - np.repeat(head, count)  # of each run in its text
+        length = np.where(np.repeat(count > 1, count), RUN, np.repeat(size, count))
+        length[last] = size - (count - 1) * np.where(count > 1, RUN, 0)
+        flat, origin = np.concatenate(texts), np.cumsum(length) - length
+
+        start, step, emit = (x.astype(np.float32) for x in (self.start, self.step, self.emit / np.maximum(self.emit.max(axis=1, keepdims=True), 1e-300)))
         before, after = np.empty((len(place), k), np.float32), np.ones((len(place), k), np.float32)
         before[head] = start
-        several = np.repeat(count > 1, count)
-        if several.any():
+        several = np.flatnonzero(np.repeat(count > 1, count))
+        if len(several):
             matrix = np.empty((len(place), k, k), np.float32)
-            for at in _slices(np.flatnonzero(several), length):
-                matrix[at] = self._products(symbols[at], length[at], place[at] == 0, step, emit)
+            for at in _slices(length[several]):
+                at = several[at]
+                matrix[at] = self._products(flat, origin[at], length[at], place[at] == 0, step, emit)
             many = np.flatnonzero(count > 1)
             for j in range(1, int(count.max())):
                 many = many[count[many] > j]
@@ -194,19 +216,17 @@ class Hmm:
                 back = np.einsum("nst,nt->ns", matrix[at + 1], after[at + 1])
                 after[at] = back / back.sum(axis=1, keepdims=True)
         first, steps = np.zeros(k), np.zeros((k, k))
-        emissions = np.zeros((SYMBOLS, k))
-        for at in _slices(np.arange(len(place)), length):
-            f, x, e = self._within(symbols[at], length[at], place[at] == 0, before[at], after[at], step, emit)
+        emissions = np.zeros((k, len(emit)))
+        for at in _slices(length):
+            f, x = self._within(flat, origin[at], length[at], place[at] == 0, before[at].T, after[at].T, step, np.ascontiguousarray(emit.T), emissions)
             first += f
             steps += x
-            emissions += e
-        return first, steps, emissions
+        return first, steps, emissions.T
 
-    def _products(self, symbols: np.ndarray, length: np.ndarray, heads: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    def _products(self, flat: np.ndarray, origin: np.ndarray, length: np.ndarray, heads: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
         """For each run (rows sorted by length, longest first), the product of its steps and emissions up to a factor; heads begin without a step."""
         k = len(step)
-        b = emit[symbols.T]
-        b /= b.max(axis=2, keepdims=True)
+        b = emit[flat[np.minimum(origin + np.arange(int(length[0]))[:, None], len(flat) - 1)]]  # position, run, state
         product = np.where(heads[:, None, None], np.eye(k, dtype=np.float32), step) * b[0][:, None, :]
         for t in range(1, int(length[0])):
             n = int(np.searchsorted(-length, -t, side="left"))  # runs longer than t
@@ -214,47 +234,71 @@ class Hmm:
             product[:n] = m / m.max(axis=(1, 2), keepdims=True) if t % 4 == 0 else m
         return product / product.max(axis=(1, 2), keepdims=True)
 
-    def _within(self, symbols: np.ndarray, length: np.ndarray, heads: np.ndarray, before: np.ndarray, after: np.ndarray, step: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of runs (rows sorted by length, longest first), given the probabilities before and after each."""
-        k, size = len(step), int(length[0])
-        alive = np.searchsorted(-length, -np.arange(size + 1), side="left")
-        b = emit[symbols.T[:size]]  # position, run, state
-        alpha = np.empty_like(b)
-        a = np.where(heads[:, None], before, before @ step) * b[0]
-        alpha[0] = a / a.sum(axis=1, keepdims=True)
-        for t in range(1, size):
-            n = alive[t]
-            a = (alpha[t - 1, :n] @ step) * b[t, :n]
-            alpha[t, :n] = a / a.sum(axis=1, keepdims=True)
-        steps = np.zeros((k, k))
-        beta = after.copy()
-        gamma = alpha  # overwritten from the end
+    def _within(
+        self, flat: np.ndarray, origin: np.ndarray, length: np.ndarray, heads: np.ndarray, before: np.ndarray, after: np.ndarray, step: np.ndarray, emit: np.ndarray, emissions: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Expected first states and steps of runs (sorted by length, longest first), given the probabilities before and after each; adds to ``emissions``.
+
+        States are the rows of all arrays, so that sums over states run along
+        memory.  With ``ahead`` for the forward probabilities one step on, the
+        states expected at a position are forward times step times (expected
+        at the next over ahead there); no scale enters, and the step itself is
+        expected as forward times that quotient.  A symbol's emissions are at
+        most 1 and one of them is 1, so a position takes no more from the scale
+        than the least likely step, and scaling every other one is enough.
+        """
+        symbols, base, alive = _by_position(flat, origin, length)
+        size = len(base) - 1
+        forward = emit.take(symbols, axis=1)
+        ahead = np.zeros_like(forward)  # at each position that of the next one, then the quotient there
+        gamma = np.empty_like(forward)
+        back = np.ascontiguousarray(step.T)
+        enter = np.where(heads, before, back @ before)
+        forward[:, : base[1]] *= enter
+        for t in range(size):
+            i, j, m = base[t], base[t + 1], alive[t + 1]
+            a = forward[:, i:j]
+            if t % 2 == 0:
+                a /= a.sum(axis=0)
+            if m:
+                np.matmul(back, a[:, :m], out=ahead[:, i : i + m])
+                forward[:, j : j + m] *= ahead[:, i : i + m]
         for t in range(size - 1, -1, -1):
-            n, m = alive[t], alive[t + 1]
-            if m:  # runs that go on; the others have what comes after them in beta
-                ahead = b[t + 1, :m] * beta[:m]
-                back = ahead @ step.T
-                norm = 1.0 / (alpha[t, :m] * back).sum(axis=1, keepdims=True)
-                steps += step * ((alpha[t, :m] * norm).T @ ahead)
-                beta[:m] = back / back.sum(axis=1, keepdims=True)
-            g = alpha[t, :n] * beta[:n]
-            gamma[t, :n] = g / g.sum(axis=1, keepdims=True)
+            i, j, m = base[t], base[t + 1], alive[t + 1]
+            g = gamma[:, i:j]
+            if m:  # runs that go on
+                quotient = np.divide(gamma[:, j : j + m], ahead[:, i : i + m], out=ahead[:, i : i + m])
+                np.matmul(step, quotient, out=g[:, :m])
+                g[:, :m] *= forward[:, i : i + m]
+            if m < alive[t]:
+                g[:, m:] = forward[:, i + m : j] * after[:, m : alive[t]]
+                g[:, m:] /= g[:, m:].sum(axis=0)
+            if t % 64 == 0:
+                g /= g.sum(axis=0)
+        steps = np.zeros(step.shape)
+        for i in range(0, len(symbols), 1 << 16):
+            steps += forward[:, i : i + (1 << 16)] @ ahead[:, i : i + (1 << 16)].T
         rest = ~heads
         if rest.any():  # the step into a run from the one before
-            ahead = b[0][rest] * beta[rest]
-            norm = 1.0 / (before[rest] * (ahead @ step.T)).sum(axis=1, keepdims=True)
-            steps += step * ((before[rest] * norm).T @ ahead)
-        inside = np.arange(size)[:, None] < length
-        flat, weight = symbols.T[:size][inside], gamma[inside]
-        emissions = np.stack([np.bincount(flat, weights=weight[:, s], minlength=SYMBOLS) for s in range(k)], axis=1)
-        return gamma[0][heads].sum(axis=0, dtype=np.float64), steps, emissions
+            steps += before[:, rest] @ (gamma[:, : base[1]][:, rest] / enter[:, rest]).T
+        for s, weight in enumerate(gamma):
+            emissions[s] += np.bincount(symbols, weights=weight, minlength=emissions.shape[1])
+        return gamma[:, : base[1]][:, heads].sum(axis=1, dtype=np.float64), step * steps
 
 
-def _slices(runs: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
-    """The runs, some thousands at a time, each time the longest first."""
-    for k in range(0, len(runs), SLICE):
-        at = runs[k : k + SLICE]
-        yield at[np.argsort(-length[at], kind="stable")]
+def _slices(length: np.ndarray) -> Iterator[np.ndarray]:
+    """The runs with these lengths, the longest first, so many at a time as have about ``SLICE * RUN`` tokens and one at least."""
+    order = np.argsort(-length, kind="stable")
+    part = (np.cumsum(length[order]) - 1) // (SLICE * RUN)
+    yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
+def _by_position(flat: np.ndarray, origin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of runs (longest first) in order of position, then run; where each position begins and the end; how many runs have each, and 0."""
+    alive = np.searchsorted(-length, -np.arange(int(length[0]) + 1), side="left")
+    base = np.concatenate([[0], np.cumsum(alive[:-1])])
+    run = np.arange(base[-1]) - np.repeat(base[:-1], alive[:-1])
+    return flat[origin[run] + np.repeat(np.arange(len(base) - 1), alive[:-1])].astype(np.intp), base, alive
 
 
 def _initial(p: np.ndarray) -> Hmm:
@@ -288,7 +332,7 @@ def _expectations(table: DataFrame, model: Hmm) -> np.ndarray:
             for x in batch.column(0).to_pylist():
                 held.append(np.frombuffer(x, dtype="<u2"))
                 size += len(held[-1])
-                if size >= SLICE * RUN:
+                if size >= POOL * SLICE * RUN:
                     add()
                     size = 0
         if held:
@@ -331,29 +375,25 @@ def score_texts(docs: DataFrame, held_out, text: str = "text", id_col: str = "do
     sums = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n_train, v = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
     top = commonest(counts, "c", COUNTED).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    words = [w.encode() for w in top["word"]]
-    own = int((top["c"].to_numpy(dtype=np.int64) >= max(1, n_train) / VOCABULARY).sum())
-    vocabulary = Vocabulary(words, [int(c) for c in top["c"]], own)
+    words, often = pa.array(top["word"], pa.string()), top["c"].to_numpy(dtype=np.int64)
+    own = int((often >= max(1, n_train) / VOCABULARY).sum())
+    vocabulary = Vocabulary(words, often, own)
     table = materialize(symbols(slim, vocabulary), "lm-symbols")
 
     # Size of each class: what its words weigh, and one for a word never seen.
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(w) for w in raw(batch.column(0))], pa.int32()), batch.column(1)], names=["class", "c"])
-
-    common = docs.sparkSession.sparkContext.broadcast(frozenset(words[:own]))
+    common = docs.sparkSession.sparkContext.broadcast(words[:own])
 
     def uncommon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [w not in common.value for w in raw(batch.column(0))]
-            yield from weigh([batch.filter(pa.array(keep, pa.bool_()))])
+            batch = batch.filter(pc.invert(pc.is_in(batch.column(0).cast(pa.string()), value_set=common.value)))
+            yield pa.RecordBatch.from_arrays([pa.array(classes(batch.column(0)), pa.int32()), batch.column(1)], names=["class", "c"])
 
     size = np.ones(CLASSES)
     seen = np.zeros(CLASSES)
     for r in counts.select("word", "c").mapInArrow(uncommon, "class int, c long").groupBy("class").agg(F.sum(F.col("c") + 1).alias("w"), F.sum("c").alias("c")).collect():
         size[r["class"]] += r["w"]
         seen[r["class"]] += r["c"]
-    p = np.concatenate([[ends + 1.0], top["c"].to_numpy(dtype=float)[:own] + 1.0, np.zeros(VOCABULARY - own), seen + 1.0])
+    p = np.concatenate([[ends + 1.0], often[:own] + 1.0, np.zeros(VOCABULARY - own), seen + 1.0])
     unused = p == 0
     p /= p.sum()
     model = fit(table.where(~F.col("held_out")), p, rounds)

@@ -133,3 +133,19 @@ def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts, A-Z lowered, as places in an array of distinct words; how many each text has; that array.
+
+    Arrow counts blank ends as empty words; they are left out, but may stay in the array.
+    """
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    values = found.flatten().dictionary_encode()
+    code, count = values.indices.to_numpy(), np.diff(found.offsets.to_numpy()).astype(np.int64)
+    blank = pc.index(values.dictionary, pa.scalar("", values.dictionary.type)).as_py()
+    if blank >= 0:
+        keep = code != blank
+        count = np.bincount(np.repeat(np.arange(len(count)), count)[keep], minlength=len(count))
+        code = code[keep]
+    return code, count, values.dictionary

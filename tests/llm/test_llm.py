@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -536,6 +537,40 @@ def test_baum_welch_counts_against_enumeration(monkeypatch, run, portion):
         assert np.allclose(got, want, atol=1e-4)
 
 
+def test_baum_welch_multiplies_matrices_only_for_very_long_texts(monkeypatch):
+    """Texts of usual length are worked out whole, side by side; what long ones get by runs is the same."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(lm, "SYMBOLS", 9)
+    emit = rng.random((9, lm.STATES)) ** 8
+    hmm = lm.Hmm(rng.dirichlet(np.ones(lm.STATES)), rng.dirichlet(np.full(lm.STATES, 0.1) + 0.01, lm.STATES) * 0.99 + 0.01 / lm.STATES, emit / emit.sum(axis=0))
+    texts = [rng.integers(0, 9, n) for n in (1000, 1, 300, 128, 129, 2, 700, 700)]
+    with monkeypatch.context() as m:
+        m.setattr(lm.Hmm, "_products", lambda *_: pytest.fail("a product for a text of usual length"))
+        whole = hmm.expect(texts)
+    assert abs(whole[0].sum() - len(texts)) < 1e-3 and abs(whole[2].sum() - sum(map(len, texts))) < 1e-2
+    assert np.allclose(whole[2].sum(axis=1), np.bincount(np.concatenate(texts), minlength=9), atol=1e-2)
+    for most, run, portion in ((1, 1, 300), (2, 3, 4), (128, 128, 4096), (650, 50, 3)):
+        monkeypatch.setattr(lm, "WHOLE", most)
+        monkeypatch.setattr(lm, "RUN", run)
+        monkeypatch.setattr(lm, "SLICE", portion)
+        for got, want in zip(hmm.expect(texts), whole):
+            assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_lm_words_are_looked_up_once_a_slice(monkeypatch):
+    texts = ["", None, " a\tB\n\x0bÀ\x0c\x0da ", "  ", "x\x1cy\u0085z\x00 \u00a0q 日本語", "a a b", "É ab abc abcd zabcd"]
+    code, count, words = lm.encoded(pa.array(texts))
+    found = [w.encode() for w in words.to_pylist()]
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert [found[c] for c in code] == [w for x in want for w in x] and count.tolist() == [len(x) for x in want]
+    asked = []
+    monkeypatch.setattr(lm, "class_of", lambda w, f=lm.class_of: asked.append(w) or f(w))
+    vocabulary = lm.Vocabulary(pa.array(["a", "b", "日本語"]), np.array([5, 4, 2]), 2)
+    symbol, c = vocabulary.look_up(pa.array(["b", "abcd", "zabcd", "a", "日本語", "", "xbcd"]))
+    assert symbol.tolist() == [2, *[1 + lm.VOCABULARY + lm.class_of(w) for w in (b"bcd", b"bcd")], 1, *[1 + lm.VOCABULARY + lm.class_of(w) for w in ("日本語".encode(), b"", b"bcd")]]
+    assert c.tolist() == [4, -1, -1, 5, 2, -1, -1] and len(asked) == 3 + 5  # three endings, and five times just now
+
+
 def test_lm_scores(spark, odd):
     df, rows = odd
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
